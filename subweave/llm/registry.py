@@ -10,13 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subweave.llm import linededup, quality, urls
+from subweave.llm import linededup, ngramjoin, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.clustered(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.ledger(_table(spark, sf_dir, "documents"))
     base = F.col("failed").bitwiseAND(F.lit(quality.BASE.mask(quality.RULES))) != 0
@@ -33,6 +37,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op8_url_filters": op8_url_filters,
@@ -42,6 +47,20 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_OP1 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS MATERIALIZED (
+  SELECT p.r AS a, q.r AS b FROM s p JOIN s q ON p.g = q.g AND p.r <> q.r JOIN n x ON x.r = p.r JOIN n y ON y.r = q.r
+  GROUP BY p.r, q.r, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT reach.a AS r, min(e.doc_id) AS c FROM reach JOIN d e ON e.r = reach.b GROUP BY reach.a) m USING (r)
+"""
+
 _OP2 = rf"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
@@ -94,6 +113,7 @@ SELECT page_id, host, path, CASE {name} END AS rule, CASE {verdict} {other} ELSE
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": _OP1,
     "op2_quality_rules": _OP2,
     "op5_line_dedup": _OP5,
     "op8_url_filters": _op8(),
