@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subweave.llm import linededup, ngramjoin, packing, quality, tokenfiles, urls
+from subweave.llm import bpe, linededup, ngramjoin, packing, quality, tokenfiles, urls
 from subweave.llm.store import new_path
 
 
@@ -32,6 +32,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op7_token_files": op7_token_files,
     "op8_url_filters": op8_url_filters,
