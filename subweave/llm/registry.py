@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subweave.llm import bpe, linededup, ngramjoin, packing, quality, tokenfiles, urls
+from subweave.llm import bpe, chat, imatch, licenses, linededup, ngramjoin, packing, quality, tokenfiles, urls
 from subweave.llm.store import new_path
 
 
@@ -42,6 +42,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = imatch.with_edits(_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        imatch.written(F.col("hashes")).alias("fingerprint"),
+        imatch.written(F.col("edited_hashes")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        imatch.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -52,14 +65,25 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_table(spark, sf_dir, "conversations"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents")).select("doc_id", "license", "coverage", "first_word", "n_words", F.array_join("licenses", ",").alias("licenses"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_url_filters": op8_url_filters,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_license_scans": op10_license_scans,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -113,6 +137,16 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+#: For conversations without tool calls, as the table has them; linking is tested against a brute-force version.
+_OP9 = """
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, text, role) - 1 AS position,
+  CAST(NULL AS BIGINT) AS call_turn, false AS linked, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_bad_calls,
+  CAST(0 AS BIGINT) AS n_repeated_ids,
+  CAST(json_object('content', text, 'conv_id', conv_id, 'role', role, 'turn', turn) AS VARCHAR) AS json
+FROM conversations
+"""
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -136,4 +170,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _OP2,
     "op5_line_dedup": _OP5,
     "op8_url_filters": _op8(),
+    "op9_chat_formatting": _OP9,
 }

@@ -54,13 +54,16 @@ class Texts:
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of every word, and for each row the index of its first word (one entry more than rows)."""
+    def words(self, spaces: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every word, and for each row the index of its first word (one entry more than rows).
+
+        spaces flags the bytes that are not of words.
+        """
         n = len(self.data)
         if not n:
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(len(self) + 1, np.int64)
-        space, edge = _IS_SPACE[self.data], np.zeros(n + 1, bool)
+        space, edge = spaces[self.data], np.zeros(n + 1, bool)
         edge[self.offsets] = True
         before, after = np.ones(n, bool), np.ones(n, bool)
         before[1:], after[:-1] = space[:-1], space[1:]
