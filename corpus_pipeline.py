@@ -8,15 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subweave.llm import linededup, quality
+from subweave.llm import linededup, ngramjoin, packing, quality
 from subweave.llm.store import stored
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The rows of docs under the columns of documents, with the text and n_chars that changed has."""
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule of the full policy."""
     scored = quality.ledger(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
@@ -26,12 +21,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them have."""
     done = linededup.dedup_lines(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
-    return _with_text(docs, done)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return ngramjoin.without_near_duplicates(docs, carry=carry).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, with their sequences."""
+    return packing.packed(docs)
 
 
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("packing", packed),
 ]
 
 #: SQL has neither the tokenizer nor the packing, so run() is tested against a brute-force version.
