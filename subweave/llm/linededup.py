@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from subweave.llm import bloom
 from subweave.llm.store import stored
 from subweave.llm.text import SPACES, texts
 
-#: Bits of each filter at most (32 MB), and bits for each document's lines below that.
-MOST_BITS, BITS_PER_LINE = 1 << 28, 24
-#: Bits of one stretch of the filters.
-STRETCH = 1 << 20
+#: Bits of each filter for a document's line.
+BITS_PER_LINE = 24
 #: Keys that are sent to every executor at most, of 64 bytes on average; beyond that they are joined.
 MOST_SENT = 1 << 19
 
@@ -51,12 +50,6 @@ def _hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key)
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two bits for each hash."""
-    mask = np.uint64(bits - 1)
-    return np.concatenate([hashes & mask, (hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) + (hashes & np.uint64(0xFFFF)) & mask])
-
-
 def _keys(text: bytes, min_chars: int) -> set[bytes]:
     return {k for k in map(line_key, text.split(b"\n")) if _chars(k) >= min_chars}
 
@@ -69,12 +62,10 @@ def _partial(min_chars: int, bits: int) -> Callable:
             for i in range(len(found)):
                 once += map(_hash, _keys(found.row(i), min_chars))
             hashes, n = np.unique(np.array(once, np.uint64), return_counts=True)
-            one, two = np.unique(_positions(hashes, bits)), np.unique(_positions(hashes[n > 1], bits))
             out: dict[int, list] = {}
-            for kind, at in ((0, one), (1, two)):
-                cuts = np.flatnonzero(np.diff(at // STRETCH, prepend=-1)) if len(at) else []
-                for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True) if len(at) else ():
-                    out.setdefault(int(at[lo] // STRETCH), [b"", b""])[kind] = (at[lo:hi] % STRETCH).astype("<u4").tobytes()
+            for kind, some in ((0, hashes), (1, hashes[n > 1])):
+                for stretch, at in bloom.stretches(np.unique(bloom.positions(some, bits))):
+                    out.setdefault(stretch, [b"", b""])[kind] = at
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([v[0] for v in out.values()], pa.binary()), pa.array([v[1] for v in out.values()], pa.binary())], names=["stretch", "once", "twice"])
 
     return run
@@ -82,7 +73,7 @@ def _partial(min_chars: int, bits: int) -> Callable:
 
 def _merged(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One stretch of both filters, a part at a time."""
-    once, twice = np.zeros(STRETCH, bool), np.zeros(STRETCH, bool)
+    once, twice = np.zeros(bloom.STRETCH, bool), np.zeros(bloom.STRETCH, bool)
     for batch in parts:
         for a, b in zip(batch.column("once"), batch.column("twice"), strict=True):
             one = np.frombuffer(a.as_buffer(), "<u4") if a.as_py() else np.zeros(0, "<u4")
@@ -94,20 +85,9 @@ def _merged(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
-    """The second filter as packed bits; at most MOST_BITS of them reach the driver."""
+    """The second filter as packed bits; the driver gets them, of a fixed largest size."""
     parts = docs.select("text").mapInArrow(_partial(min_chars, bits), "stretch int, once binary, twice binary")
-    rows = parts.groupBy("stretch").applyInArrow(_merged, "stretch int, bits binary").collect()
-    out = np.zeros(max(1, bits // 8), np.uint8)
-    for r in rows:
-        part = np.frombuffer(r["bits"], np.uint8)
-        out[r["stretch"] * (STRETCH // 8) :][: len(part)] = part[: len(out)]
-    return out
-
-
-def _passes(filter_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _positions(hashes, len(filter_bits) * 8)
-    set_ = (filter_bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
-    return set_[: len(hashes)] & set_[len(hashes) :]
+    return bloom.gathered(parts.groupBy("stretch").applyInArrow(_merged, "stretch int, bits binary"), bits)
 
 
 def _suspects(sent, min_chars: int) -> Callable:
@@ -125,7 +105,7 @@ def _suspects(sent, min_chars: int) -> Callable:
                 keys += first
                 numbers += first.values()
                 docs += [ids[i]] * len(first)
-            keep = np.flatnonzero(_passes(known, np.fromiter(map(_hash, keys), np.uint64, len(keys)))) if keys else []
+            keep = np.flatnonzero(bloom.passes(known, np.fromiter(map(_hash, keys), np.uint64, len(keys)))) if keys else []
             # one row for each key and batch: a line of many documents is counted here first
             per: dict[bytes, list] = {}
             for j in keep:
@@ -140,14 +120,14 @@ def _suspects(sent, min_chars: int) -> Callable:
     return run
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_bits: int = MOST_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_bits: int = bloom.MOST_BITS) -> DataFrame:
     """Exactly the keys of at least min_docs documents: key, hash, n_docs, and the document and line where it comes first.
 
     docs has doc_id (long) and text.
     """
     spark = docs.sparkSession
     need = docs.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1
-    bits = min(most_bits, max(STRETCH, 1 << (int(need) * BITS_PER_LINE - 1).bit_length()))
+    bits = bloom.size_for(int(need), BITS_PER_LINE, most_bits)
     sent = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
     found = docs.select("doc_id", "text").mapInArrow(_suspects(sent, min_chars), "key string, hash long, n_docs long, first_doc long, first_line long")
     first = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "first_line"))
@@ -225,7 +205,7 @@ def _with_text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(found.row(i)) for i in range(len(found))], pa.binary())], names=[*batch.schema.names, "text_key"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_sent: int = MOST_SENT, most_bits: int = MOST_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_sent: int = MOST_SENT, most_bits: int = bloom.MOST_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each document without the lines that at least min_docs documents have: doc_id, text, the columns to carry, n_lines, n_dropped.
 
     Columns to carry must not be named n_lines, n_dropped, text_key or bad.

@@ -5,7 +5,8 @@ A document linked with another shares at least the threshold's part of its own s
 1. Each text is reduced to the size and the 128-bit key of its shingle set; equal sets are one from here on.
 2. Shingles are dealt out as 32-bit rests of 64-bit hashes, and each document learns how many of its own occur anywhere else.
    A task sends a shingle that several of its documents have only once. Rests that fall together only keep a document in.
-3. Documents with enough shared shingles stay. A sketch of counts (4 MB at any size) orders shingles from rare to frequent.
+3. Documents with enough shared shingles stay; a Bloom filter of their keys, of a fixed largest size, tells the tasks that read
+   the texts again which sets to send on. A sketch of counts (4 MB at any size) orders shingles from rare to frequent.
    Two linked documents have one of their n - ceil(t n) + 1 rarest shingles in common, so documents that share none of
    them, even over others, never meet again: they fall into groups.
 4. Each group is searched in memory, several small groups at a time; a larger one is dealt into blocks, and every two blocks
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from subweave.llm import bloom
 from subweave.llm.components import components
 from subweave.llm.store import stored
 from subweave.llm.text import Texts, chained, mix, sliced
@@ -97,12 +99,16 @@ def _summaries(size: int) -> Callable:
     return run
 
 
-def _with_sets(size: int) -> Callable:
+def _with_sets(size: int, sent) -> Callable:
+    """The sets whose key passes the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in sliced(batch, "text"):
                 sets = [x for x in shingle_sets(texts.lower(), size) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array((x.tobytes() for x in sets), pa.binary())], names=["set_key", "shingles"])
+                keys = list(map(set_key, sets))
+                good = np.flatnonzero(bloom.passes(sent.value, bloom.hashes_of(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in good], pa.binary()), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["set_key", "shingles"])
 
     return run
 
@@ -355,8 +361,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     counted = rows.select("text").mapInArrow(_sends(size, buckets), _SENT).groupBy("bucket").applyInArrow(_shared, "part int, send int, rows binary, counts binary, keys binary, sizes binary")
     good = stored(counted.groupBy("part", "send").applyInArrow(_enough(threshold), "set_key binary").distinct(), "candidates")
     by_key = all_sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    wanted = by_key.join(good, "set_key", "left_semi").select(F.col("doc_id").alias("wanted"))
-    near = rows.join(wanted.distinct(), F.expr("doc_id <=> wanted"), "left_semi").select("text").mapInArrow(_with_sets(size), "set_key binary, shingles binary")
+    sent = rows.sparkSession.sparkContext.broadcast(bloom.key_filter(good, bloom.size_for(good.count(), 16)))
+    near = rows.select("text").mapInArrow(_with_sets(size, sent), "set_key binary, shingles binary")
     sets = stored(near.join(good, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles")), "shingles")
     roots = stored(components(_links(sets, threshold, block)), "components")
     named = by_key.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").where("n > 1 or root is not null").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("component"))
