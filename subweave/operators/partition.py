@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subweave.store import stored
+
 
 def by_hash(vertices: DataFrame, k: int, v: str = "v") -> DataFrame:
     """part by the vertex id modulo k."""
@@ -84,5 +86,5 @@ def by_labels(adj: DataFrame, k: int, rounds: int = 5, slack: float = 1.1) -> Da
         share = wish.join(free, "want").select("want", F.least(F.lit(1.0), F.col("free") / F.col("count")).alias("share"))
         moved = part.join(best, "v").join(F.broadcast(share), "want", "left")
         luck = F.pmod(F.xxhash64("v", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        part = moved.select("v", F.when((F.col("want") != F.col("pid")) & (luck < F.coalesce("share", F.lit(0.0))), F.col("want")).otherwise(F.col("pid")).cast("int").alias("pid")).checkpoint()
+        part = stored(moved.select("v", F.when((F.col("want") != F.col("pid")) & (luck < F.coalesce("share", F.lit(0.0))), F.col("want")).otherwise(F.col("pid")).cast("int").alias("pid")), "parts")
     return part

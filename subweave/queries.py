@@ -104,7 +104,7 @@ def _parts_sql(p: Pattern) -> str:
 def _seeded_sql(p: Pattern) -> str:
     ctes, last = oracle.match_ctes(p)
     cross = [f"CASE WHEN v{a} % 4 <> v{b} % 4 THEN least(v{a}, v{b}) * 4294967296 + greatest(v{a}, v{b}) END" for a, b in p.edges]
-    return f"{_ADJ},\n{ctes},\nk AS (SELECT list_min(list_filter([{', '.join(cross)}], x -> x IS NOT NULL)) AS e FROM {last})\nSELECT CAST(e // 4294967296 AS BIGINT) AS a, CAST(e % 4294967296 AS BIGINT) AS b, count(*) AS n FROM k WHERE e IS NOT NULL GROUP BY ALL"
+    return f"{_ADJ},\n{ctes},\nk AS (SELECT list_min([{', '.join(cross)}]) AS e FROM {last})\nSELECT CAST(e // 4294967296 AS BIGINT) AS a, CAST(e % 4294967296 AS BIGINT) AS b, count(*) AS n FROM k WHERE e IS NOT NULL GROUP BY ALL"
 
 
 def _graph_queries() -> None:

@@ -81,7 +81,7 @@ def _token_pairs(lines: DataFrame) -> DataFrame:
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """Edges of rows `u n v1 .. vn`."""
     rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("x")).where("size(x) > 2")
-    return rows.select(F.col("x")[0].cast("long").alias("src"), F.explode(F.slice("x", F.lit(3), F.col("x")[1].cast("int"))).cast("long").alias("dst"))
+    return rows.select(F.col("x")[0].cast("long").alias("src"), F.explode(F.slice("x", F.lit(3), F.col("x")[1].cast("int")).cast("array<bigint>")).alias("dst"))
 
 
 def clean_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
