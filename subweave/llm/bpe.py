@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subweave.llm.text import Texts, sliced
-from subweave.llm.tokens import LONGEST, Encoder, held, spaced_units
+from subweave.llm.tokens import LONGEST, Encoder, held, spaced_units, whole_ids
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pairs of tokens, and short pre-tokens, that an encoder remembers; both memories are emptied when full.
@@ -371,7 +371,7 @@ def _encoder(name: str) -> Encoder:
 
 def encoded(texts: Texts, name: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows end to end, and the rows' offsets in them; units that come again are taken from the worker's memory."""
-    return held(("own", name), lambda: _encoder(name)).ids(texts, *spaced_units(texts))
+    return whole_ids(held(("own", name), lambda: _encoder(name)), texts, spaced_units)
 
 
 def _round_trip(name: str) -> Callable:

@@ -17,7 +17,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+#: Masks of the lowest 0 to 8 bytes of an integer.
+LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 _MUL_A, _MUL_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _32 = np.uint64(32)
@@ -76,10 +77,10 @@ class Texts:
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
         length = ends - starts
-        out = mix((eight[starts] & _LOW_BYTES[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * _STEP))
+        out = mix((eight[starts] & LOW_BYTES[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * _STEP))
         at, more = 8, np.flatnonzero((length > 8) & (length <= _LONG_WORD))
         while len(more):
-            block = eight[starts[more] + at] & _LOW_BYTES[np.minimum(length[more] - at, 8)]
+            block = eight[starts[more] + at] & LOW_BYTES[np.minimum(length[more] - at, 8)]
             out[more] = mix(out[more] * _STEP + block)
             at += 8
             more = more[length[more] > at]

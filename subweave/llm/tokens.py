@@ -1,9 +1,11 @@
 """Token ids of whole texts by way of their units.
 
 A unit is a stretch of a text that the tokenizer's own pre-tokenizer never joins with its neighbours: texts are cut where a
-single space or newline stands between two characters that are surely not white space. So the ids of a text are the ids of its
-units one after the other, and a unit that comes again need not be encoded again. Each worker keeps the ids of a bounded number
-of short units; a full memory is emptied.
+single space or newline stands between two characters that are surely not white space, and between a Latin letter and a
+punctuation mark other than the apostrophe. So the ids of a text are the ids of its units one after the other, and a unit that
+comes again need not be encoded again. Each worker keeps the ids of a bounded number of short units; a full memory is emptied.
+
+Units are grouped by hash, and each is then compared with the one that stands for its group.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 
-from subweave.llm.text import Texts
+from subweave.llm.text import LOW_BYTES, Texts
 
 #: Units that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 #: An encoder takes some units as bytes and gives the ids of each.
 Encoder = Callable[[list[bytes]], list[list[int]]]
 
@@ -30,38 +32,79 @@ _LEAD[4][0xF0:0xF5] = True
 _NEXT = _ASCII | _LEAD[2] | _LEAD[3] | _LEAD[4]
 
 
-def _between(texts: Texts, also: bytes) -> np.ndarray:
-    """Where a space, or one of also, stands alone between two characters that are not white space."""
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = _ASCII & ~_LETTER
+_MARK[48:58] = _MARK[0x27] = False
+#: What begins a special token, inside which nothing is cut at letters and marks.
+_SPECIAL = b"<|"
+
+
+def _between(texts: Texts) -> np.ndarray:
+    """Where a space or a newline stands alone between two characters that are not white space."""
     d, n = texts.data, len(texts.data)
-    at = d == 0x20
-    for x in also:
-        at |= d == x
-    at = np.flatnonzero(at)
+    at = np.flatnonzero((d == 0x20) | (d == 0x0A))
     at = at[(at > 0) & (at < n - 1)]
+    before = d[at - 1]
+    solid = _ASCII[before]
+    other = np.flatnonzero((before & 0xC0) == 0x80)
+    for k in (2, 3, 4):
+        solid[other] |= (at[other] >= k) & _LEAD[k][d[np.maximum(at[other] - k, 0)]]
     edge = np.zeros(n + 1, bool)
     edge[texts.offsets] = True
-    solid = _ASCII[d[at - 1]]
-    for k in (2, 3, 4):
-        solid |= (at >= k) & ((d[at - 1] & 0xC0) == 0x80) & _LEAD[k][d[np.maximum(at - k, 0)]]
     return at[solid & _NEXT[d[at + 1]] & ~edge[at] & ~edge[at + 1]]
 
 
-def spaced_units(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def _flags(texts: Texts, blob: bytes) -> np.ndarray:
+    """Flags of the bytes that begin a row, or a letter next to a mark, or a mark next to a letter."""
+    d = texts.data
+    out = np.zeros(len(d) + 1, bool)
+    if len(d) and _SPECIAL not in blob:
+        letter, mark = _LETTER[d], _MARK[d]
+        # the last byte of a letter of Latin-1: C3 and any but the signs of multiplication and division
+        latin = (d[:-1] == 0xC3) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+        ends = letter.copy()
+        ends[1:] |= latin
+        letter[:-1] |= latin
+        out[1:-1] = (ends[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    out[texts.offsets[:-1]] = True
+    return out
+
+
+def spaced_units(texts: Texts, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of units where a space belongs to the word behind it and a newline is a unit."""
-    cut = _between(texts, b"\n")
-    lines = cut[texts.data[cut] == 0x0A]
-    starts = np.unique(np.concatenate([texts.offsets[:-1], cut, lines + 1]))
-    starts = starts[starts < len(texts.data)]
+    flags, cut = _flags(texts, blob), _between(texts)
+    flags[cut] = flags[cut[texts.data[cut] == 0x0A] + 1] = True
+    starts = np.flatnonzero(flags[:-1])
     return starts, np.append(starts[1:], len(texts.data))
 
 
-def bare_units(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def bare_units(texts: Texts, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of units without the white space between them, for tokenizers that drop it."""
-    cut = _between(texts, b"\n")
-    starts = np.unique(np.concatenate([texts.offsets[:-1], cut + 1]))
-    starts = starts[starts < len(texts.data)]
+    flags, cut = _flags(texts, blob), _between(texts)
+    flags[cut + 1] = True
+    starts = np.flatnonzero(flags[:-1])
     ends = np.append(starts[1:], len(texts.data))
-    return starts, ends - np.isin(ends - 1, cut, assume_unique=True)
+    dropped = np.zeros(len(texts.data) + 1, bool)
+    dropped[cut + 1] = True
+    return starts, ends - dropped[ends]
+
+
+def _same(texts: Texts, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every unit equals the unit of that number."""
+    padded = np.concatenate([texts.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(texts.data) + 1,), "<u8", padded, 0, (1,))
+    length = ends - starts
+    if (length != length[other]).any():
+        return False
+    at, more = 0, np.arange(len(starts))
+    while len(more):
+        a, b = starts[more] + at, starts[other[more]] + at
+        if ((eight[a] ^ eight[b]) & LOW_BYTES[np.minimum(length[more] - at, 8)]).any():
+            return False
+        at += 8
+        more = more[length[more] > at]
+    return True
 
 
 class Memory:
@@ -86,29 +129,33 @@ class Memory:
             self._offsets[k + 1] = hi
             self._number[unit] = k
 
-    def ids(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows end to end, and the offsets of the rows in them."""
-        blob = texts.data.tobytes()
-        units = [blob[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        own: dict[int, np.ndarray] = {}
-        for i in np.flatnonzero(ends - starts > LONGEST).tolist():
-            own[i], units[i] = np.array(self._encode([units[i]])[0], np.uint32), b""
-        fresh = [u for u in dict.fromkeys(units) if u not in self._number]
+    def ids(self, texts: Texts, blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows end to end, and the offsets of the rows in them. blob is the texts' bytes."""
+        length = ends - starts
+        small = np.flatnonzero(length <= LONGEST)
+        own = {i: np.array(self._encode([blob[starts[i] : ends[i]]])[0], np.uint32) for i in np.flatnonzero(length > LONGEST).tolist()}
+        a, b = starts[small], ends[small]
+        _, first, group = np.unique(texts.hashes(a, b), return_index=True, return_inverse=True)
+        if not _same(texts, a, b, first[group]):
+            first = group = np.arange(len(small))
+        units = [blob[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)]
+        fresh = list(dict.fromkeys(u for u in units if u not in self._number))
         if len(self._number) + len(fresh) > self._room:
             fresh = list(dict.fromkeys(units))
             self._room = max(self._room, len(fresh))
             self._clear()
         if fresh:
             self._learn(fresh)
-        number = np.fromiter(map(self._number.__getitem__, units), np.int64, len(units))
-        a, n = self._offsets[number], self._offsets[number + 1] - self._offsets[number]
+        number = np.fromiter(map(self._number.__getitem__, units), np.int64, len(units))[group]
+        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[small], n[small] = self._offsets[number], self._offsets[number + 1] - self._offsets[number]
         for i, x in own.items():
             n[i] = len(x)
         place = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(a - place[:-1], n) + np.arange(place[-1])
+        where = np.repeat(at - place[:-1], n) + np.arange(place[-1])
         for i in own:
-            at[place[i] : place[i + 1]] = 0
-        out = self._ids[at]
+            where[place[i] : place[i + 1]] = 0
+        out = self._ids[where]
         for i, x in own.items():
             out[place[i] : place[i + 1]] = x
         return out, place[np.searchsorted(starts, texts.offsets)]
@@ -125,17 +172,47 @@ def held(key: tuple, make: Callable[[], Encoder]) -> Memory:
 
 
 def library(file: str) -> Encoder:
-    """An encoder by the tokenizers library."""
+    """An encoder by the tokenizers library.
+
+    Many units go in as one text with a special token between them: the library takes special tokens out before it does anything
+    else, and what stands between them one by one. Units that have special tokens themselves go in alone.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(file)
     own.no_truncation()
     own.no_padding()
-    return lambda units: [x.ids for x in own.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+    between, text = max((i, t.content) for i, t in own.get_added_tokens_decoder().items() if t.special)
+    ids = lambda texts: [x.ids for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(units: list[bytes]) -> list[list[int]]:
+        texts = [u.decode() for u in units]
+        plain = [i for i, t in enumerate(texts) if "<|" not in t]
+        out: list[list[int]] = [[] for _ in units]
+        for lo in range(0, len(plain), 512):
+            some = plain[lo : lo + 512]
+            (whole,) = ids([text.join([texts[i] for i in some])])
+            at = 0
+            for i in some[:-1]:
+                end = whole.index(between, at)
+                out[i] = whole[at:end]
+                at = end + 1
+            out[some[-1]] = whole[at:]
+        alone = [i for i, t in enumerate(texts) if "<|" in t]
+        for i, x in zip(alone, ids([texts[i] for i in alone]), strict=True):
+            out[i] = x
+        return out
+
+    return encode
+
+
+def whole_ids(memory: Memory, texts: Texts, cut: Callable) -> tuple[np.ndarray, np.ndarray]:
+    blob = texts.data.tobytes()
+    return memory.ids(texts, blob, *cut(texts, blob))
 
 
 def library_ids(texts: Texts, name: str, drops_space: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows and their offsets, by the tokenizers library and the file of that name."""
     memory = held(("library", name), lambda: library(public_tokenizers.path(name)))
-    return memory.ids(texts, *(bare_units if drops_space else spaced_units)(texts))
+    return whole_ids(memory, texts, bare_units if drops_space else spaced_units)
