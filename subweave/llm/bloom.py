@@ -29,8 +29,8 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def stretches(at: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Sorted positions by stretch, as 32-bit positions within it."""
-    cuts = np.flatnonzero(np.diff(at // STRETCH, prepend=np.uint64((1 << 64) - 1))) if len(at) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+    ends = np.append(np.flatnonzero(np.diff(at // STRETCH)) + 1, len(at)) if len(at) else []
+    for lo, hi in zip([0, *ends], ends, strict=False):
         yield int(at[lo] // STRETCH), (at[lo:hi] % STRETCH).astype("<u4").tobytes()
 
 
