@@ -6,6 +6,7 @@ give the same rows and counts.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -170,6 +171,17 @@ def count_with_reuse(adj: DataFrame, pattern: Pattern, plan: reuse.ReusePlan | N
     return lazy_rows(adj, pattern, plan=plan or reuse.plan(pattern, planner.hand_picked(pattern))).counted()
 
 
+def symmetry_factor(pattern: Pattern) -> int:
+    """Embeddings for each match that the pattern's order lets through."""
+    all_ = list(itertools.permutations(range(pattern.n)))
+    return len(all_) // sum(all(p[a] < p[b] for a, b in pattern.order) for p in all_)
+
+
+def count_embeddings(adj: DataFrame, pattern: Pattern) -> DataFrame:
+    """One row with n, all embeddings: matches under the order, times those that it leaves out for each."""
+    return count_lazily(adj, pattern).select((F.col("n") * symmetry_factor(pattern)).alias("n"))
+
+
 def edge_intersections(adj: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """a, b and their common neighbours n for every edge in both directions."""
     own = neighbours(adj) if lists is None else lists

@@ -82,6 +82,9 @@ def _counts() -> None:
         p = by_name(short)
         _add(f"{p.name}_by_degree", lambda s, d, p=p: match.count_lazily(clean.by_degree(graph(s, d)), p), oracle.count_sql(p))
         _add(f"{p.name}_pruned", lambda s, d, p=p: match.instances_pruned(graph(s, d), p).agg(F.count("*").alias("n")), oracle.count_sql(p))
+    for short in ("q0", "q4", "q12"):
+        p = by_name(short)
+        _add(f"{p.name}_embeddings", lambda s, d, p=p: match.count_embeddings(graph(s, d), p), oracle.count_sql(p.unordered()))
     for short in ("q0", "q1", "q13"):
         p = by_name(short)
         _add(f"{p.name}_parts", lambda s, d, p=p: match.count_lazily(graph(s, d, "part"), p), oracle.count_sql(p, "part"))
