@@ -394,5 +394,11 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     chosen = stored(found.groupBy("component").agg(first).select(F.col("x.doc_id").alias("chosen"), F.col("x.set_key").alias("chosen_set")), "chosen")
     keyed = rows.mapInArrow(_keyed(size), StructType([*rows.schema, StructField("set_key", BinaryType())]))
     kept = keyed.join(chosen, F.expr("doc_id <=> chosen and set_key = chosen_set"), "left_semi")
-    one = kept.groupBy("doc_id", "set_key").agg(*(F.min_by(c, "text").alias(c) for c in rows.columns[1:]))
-    return one.select(*rows.columns).unionByName(keyed.where("set_key is null").select(*rows.columns))
+    without = keyed.where("set_key is null").select(*rows.columns)
+    # rows that have both id and set in common are seldom; only those are grouped
+    again = stored(found.groupBy("doc_id", "set_key").count().where("count > 1").select(F.col("doc_id").alias("again"), F.col("set_key").alias("again_set")), "again")
+    if not again.limit(1).count():
+        return kept.select(*rows.columns).unionByName(without)
+    both = F.expr("doc_id <=> again and set_key = again_set")
+    one = kept.join(again, both, "left_semi").groupBy("doc_id", "set_key").agg(*(F.min_by(c, "text").alias(c) for c in rows.columns[1:]))
+    return kept.join(again, both, "left_anti").select(*rows.columns).unionByName(one.select(*rows.columns)).unionByName(without)
