@@ -245,11 +245,25 @@ _CLOSED = {
 }
 
 
-def by_partition(adj: DataFrame, part: DataFrame, pattern: Pattern, order: tuple[int, ...] | None = None) -> DataFrame:
-    """One row: matches inside one partition, across partitions, in all. part has v and pid."""
-    rows = instances(adj, pattern, order)
+def _with_parts(rows: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
+    """Matches with the part of each vertex as p*."""
     for u in range(pattern.n):
         rows = rows.join(part.select(F.col("v").alias(_v(u)), F.col("pid").alias(f"p{u}")), _v(u))
+    return rows
+
+
+def _edge(a: int, b: int) -> Column:
+    return F.struct(F.least(_v(a), _v(b)).alias("a"), F.greatest(_v(a), _v(b)).alias("b"))
+
+
+def _smallest_crossing(pattern: Pattern) -> Column:
+    """The smallest edge of a match that crosses partitions; null where none does."""
+    return F.array_min(F.array_compact(F.array(*(F.when(F.col(f"p{a}") != F.col(f"p{b}"), _edge(a, b)) for a, b in pattern.edges))))
+
+
+def by_partition(adj: DataFrame, part: DataFrame, pattern: Pattern, order: tuple[int, ...] | None = None) -> DataFrame:
+    """One row: matches inside one partition, across partitions, in all. part has v and pid."""
+    rows = _with_parts(instances(adj, pattern, order), part, pattern)
     same = reduce(lambda a, b: a & b, (F.col("p0") == F.col(f"p{u}") for u in range(1, pattern.n)))
     inside = F.count_if(same)
     return rows.agg(inside.alias("intra"), (F.count("*") - inside).alias("inter"), F.count("*").alias("total"))
@@ -260,32 +274,44 @@ def seeded(adj: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
 
     Every match across partitions is counted at one edge.
     """
-    rows = instances(adj, pattern)
-    for u in range(pattern.n):
-        rows = rows.join(part.select(F.col("v").alias(_v(u)), F.col("pid").alias(f"p{u}")), _v(u))
-    edge = lambda a, b: F.when(F.col(f"p{a}") != F.col(f"p{b}"), F.struct(F.least(_v(a), _v(b)).alias("a"), F.greatest(_v(a), _v(b)).alias("b")))
-    all_ = F.array_min(F.array_compact(F.array(*(edge(a, b) for a, b in pattern.edges))))
-    return rows.select(all_.alias("e")).where("e is not null").groupBy("e.a", "e.b").agg(F.count("*").alias("n"))
+    rows = _with_parts(instances(adj, pattern), part, pattern)
+    return rows.select(_smallest_crossing(pattern).alias("e")).where("e is not null").groupBy("e.a", "e.b").agg(F.count("*").alias("n"))
 
 
-def inter_by_sequences(adj: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
-    """One row with n, matches across partitions, grown from crossing edges: one connected order for each edge of the pattern, kept where its edge is the smallest that crosses."""
-    out = None
+def _grown(rows: DataFrame, adj: DataFrame, pattern: Pattern, order: tuple[int, ...], lo: int, hi: int) -> DataFrame:
+    """Partial matches of the order's first lo vertices with those up to hi."""
+    for k, u in list(enumerate(order))[lo:hi]:
+        anchor, *others = sorted(planner.backward(pattern, order, u), key=lambda w: -order.index(w))
+        rows = _checked(rows.join(adj.select(F.col("src").alias(_v(anchor)), F.col("dst").alias(_v(u))), _v(anchor)), pattern, u, list(order[:k]))
+        for w in others:
+            rows = rows.join(adj.select(F.col("src").alias(_v(w)), F.col("dst").alias(_v(u))), [_v(w), _v(u)], "left_semi")
+    return rows
+
+
+def inter_by_sequences(adj: DataFrame, part: DataFrame, pattern: Pattern, share: bool = True) -> DataFrame:
+    """One row with n, matches across partitions, grown from crossing edges.
+
+    There is one connected order for each edge of the pattern; a match is kept where its edge is the smallest that crosses. Orders
+    whose first vertices match the same partial pattern share those rows, under other names, unless share is false.
+    """
     placed = adj.join(part.select(F.col("v").alias("src"), F.col("pid").alias("ps")), "src").join(part.select(F.col("v").alias("dst"), F.col("pid").alias("pd")), "dst")
     crossing = placed.where("ps <> pd").select("src", "dst")
-    for (a, b), order in planner.seeded_orders(pattern).items():
-        seeds = crossing.select(F.col("src").alias(_v(a)), F.col("dst").alias(_v(b)))
-        rows = _checked(seeds, pattern, b, [a])
-        for k, u in enumerate(order[2:], 2):
-            anchor, *others = sorted(planner.backward(pattern, order, u), key=lambda w: -order.index(w))
-            rows = _checked(rows.join(adj.select(F.col("src").alias(_v(anchor)), F.col("dst").alias(_v(u))), _v(anchor)), pattern, u, list(order[:k]))
-            for w in others:
-                rows = rows.join(adj.select(F.col("src").alias(_v(w)), F.col("dst").alias(_v(u))), [_v(w), _v(u)], "left_semi")
-        for u in range(pattern.n):
-            rows = rows.join(part.select(F.col("v").alias(_v(u)), F.col("pid").alias(f"p{u}")), _v(u))
-        edge = lambda x, y: F.struct(F.least(_v(x), _v(y)).alias("a"), F.greatest(_v(x), _v(y)).alias("b"))
-        others_ = [F.when(F.col(f"p{x}") != F.col(f"p{y}"), edge(x, y)) for x, y in pattern.edges if (x, y) != (a, b)]
-        least = F.array_min(F.array_compact(F.array(*others_))) if others_ else F.lit(None)
-        own = rows.where(least.isNull() | (edge(a, b) < least)).select(F.lit(1).alias("one"))
-        out = own if out is None else out.unionAll(own)
-    return out.agg(F.count("*").alias("n"))
+    orders = list(planner.seeded_orders(pattern).values())
+    groups = planner.shared_prefixes(pattern, orders) if share else {o: [o] for o in orders}
+    out = None
+    for prefix, own in groups.items():
+        first, k = own[0], len(prefix) if len(own) > 1 else 2
+        seeds = crossing.select(F.col("src").alias(_v(first[0])), F.col("dst").alias(_v(first[1])))
+        shared = _grown(_checked(seeds, pattern, first[1], [first[0]]), adj, pattern, first, 2, k)
+        shared = shared.select(*(F.col(_v(u)).alias(f"at{i}") for i, u in enumerate(first[:k])))
+        for order in own:
+            rows = shared.select(*(F.col(f"at{i}").alias(_v(u)) for i, u in enumerate(order[:k])))
+            whole = _grown(rows, adj, pattern, order, k, pattern.n)
+            found = whole.select(*(_v(u) for u in range(pattern.n)), _edge(order[0], order[1]).alias("seed"))
+            out = found if out is None else out.unionAll(found)
+    return _at_smallest(out, part, pattern).agg(F.count("*").alias("n"))
+
+
+def _at_smallest(rows: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
+    """The matches whose seed is the smallest of their edges that cross partitions."""
+    return _with_parts(rows, part, pattern).where(F.col("seed") == _smallest_crossing(pattern))

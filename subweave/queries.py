@@ -152,6 +152,8 @@ def _graph_queries() -> None:
     _add("vertex_rows", lambda s, d: clean.rows_of(graph(s, d), few(s, d)), f"{_ADJ}\nSELECT * FROM adj WHERE src % 3 = 0")
     _add("vertex_sample", lambda s, d: clean.sampled_vertices(graph(s, d), 0.4), None)
     _add("edge_intersections", lambda s, d: match.edge_intersections(graph(s, d)).select("a", "b", F.size("n").alias("n")), f"{_ADJ}\nSELECT a.src AS a, a.dst AS b, CAST((SELECT count(*) FROM adj x JOIN adj y ON x.dst = y.dst WHERE x.src = a.src AND y.src = a.dst) AS INTEGER) AS n FROM adj a")
+    some = lambda s, d: clean.vertices(graph(s, d)).select(F.col("v").alias("a"), ((F.col("v") * 7 + 3) % 100).alias("b"))
+    _add("batch_intersections", lambda s, d: match.batch_intersections(some(s, d), clean.neighbours(graph(s, d))).select("a", "b", F.size("n").alias("n")), f"{_ADJ}, p AS (SELECT DISTINCT src AS a, (src * 7 + 3) % 100 AS b FROM adj)\nSELECT a, b, CAST((SELECT count(*) FROM adj x JOIN adj y ON x.dst = y.dst WHERE x.src = p.a AND y.src = p.b) AS INTEGER) AS n FROM p WHERE b IN (SELECT src FROM adj)")
     ctes, _ = oracle.match_ctes(q2)
     _add("candidate_sizes_q2", lambda s, d: match.candidate_sizes(graph(s, d), q2), f"{_ADJ},\n{ctes}\nSELECT v0, v1, v2, count(*) AS candidates FROM m3 GROUP BY ALL")
 

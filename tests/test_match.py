@@ -79,7 +79,7 @@ def test_orders_and_user_patterns(small, edges):
     assert n_of(match.count_lazily(clean.by_degree(small), by_name("q3"))) == len(brute(edges, by_name("q3")))
 
 
-@pytest.mark.parametrize("name", ["q0", "q1", "q2"])
+@pytest.mark.parametrize("name", ["q0", "q1", "q2", "q8"])
 def test_parts_add_up(small, edges, name):
     p = by_name(name)
     part = partition.by_hash(clean.vertices(small), 3)
@@ -87,7 +87,7 @@ def test_parts_add_up(small, edges, name):
     want = brute(edges, p)
     assert row["total"] == len(want)
     assert row["intra"] == sum(len({v % 3 for v in m}) == 1 for m in want)
-    assert n_of(match.inter_by_sequences(small, part, p)) == row["inter"]
+    assert n_of(match.inter_by_sequences(small, part, p)) == n_of(match.inter_by_sequences(small, part, p, share=False)) == row["inter"]
     assert sum(r["n"] for r in match.seeded(small, part, p).collect()) == row["inter"]
 
 
