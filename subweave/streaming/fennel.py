@@ -27,7 +27,7 @@ class Fennel:
         for u in near:
             if (p := self.place.get(u)) is not None:
                 score[p] += 1
-        score[self.load >= self.most] = -np.inf
+        score[self.load > self.most] = -np.inf
         pid = int(np.argmax(score)) if np.isfinite(score).any() else int(np.argmin(self.load))
         self.load[pid] += 1
         self.place[v] = pid

@@ -65,7 +65,7 @@ def test_fennel_by_hand():
 def _fennel_by_hand():
     alpha, load, place, out = 2**0.5 * 3 / 4**1.5, [0, 0], {}, []
     for v, near in enumerate(([1], [0, 2], [1, 3], [2])):
-        score = [sum(place.get(u) == p for u in near) - alpha * ((load[p] + 1) ** 1.5 - load[p] ** 1.5) if load[p] < 1.1 * 4 / 2 else float("-inf") for p in range(2)]
+        score = [sum(place.get(u) == p for u in near) - alpha * ((load[p] + 1) ** 1.5 - load[p] ** 1.5) if load[p] <= 1.1 * 4 / 2 else float("-inf") for p in range(2)]
         p = score.index(max(score))
         place[v], load[p] = p, load[p] + 1
         out.append(p)
