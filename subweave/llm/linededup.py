@@ -28,8 +28,8 @@ from subweave.llm import bloom
 from subweave.llm.store import stored
 from subweave.llm.text import SPACES, texts
 
-#: Bits of each filter for a document's line.
-BITS_PER_LINE = 24
+#: Bits of each filter for so many bytes of text, about half a line.
+BITS, BYTES = 16, 32
 #: Keys that are sent to every executor at most, of 64 bytes on average; beyond that they are joined.
 MOST_SENT = 1 << 19
 
@@ -126,8 +126,8 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most
     docs has doc_id (long) and text.
     """
     spark = docs.sparkSession
-    need = docs.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1
-    bits = bloom.size_for(int(need), BITS_PER_LINE, most_bits)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bloom.size_for(int(size) // BYTES, BITS, most_bits)
     sent = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
     found = docs.select("doc_id", "text").mapInArrow(_suspects(sent, min_chars), "key string, hash long, n_docs long, first_doc long, first_line long")
     first = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "first_line"))
