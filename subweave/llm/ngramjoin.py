@@ -42,8 +42,9 @@ from subweave.llm.components import components
 from subweave.llm.store import stored
 from subweave.llm.text import Texts, chained, mix, sliced
 
-#: Shingles of one bucket of the counting step, of one block of the search, and of one send of a task.
-BUCKET = BLOCK = SEND = 1 << 20
+#: Shingles of one bucket of the counting step and of one block of the search, and of one send of a task.
+BUCKET = BLOCK = 1 << 20
+SEND = 1 << 19
 #: Documents of one send at most; the last number stands for several.
 SEND_DOCS, SEVERAL = 60_000, 0xFFFF
 SKETCH, SKETCH_PART = 1 << 20, 1 << 14
