@@ -19,10 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from subweave.llm.store import stored
 from subweave.llm.text import sliced
 from subweave.llm.tokens import library_ids
 
 END_ID, TOKENIZER = 2, "word_bpe_49k.json"
+#: Ranges whose totals are sent to every task at most (16 bytes each); more are joined by a shuffle.
+MOST_SENT = 1 << 20
 #: Writer's settings: stripes of 64 MB, an index entry each 10,000 rows, Bloom filters of document ids at 1 % false positives.
 ORC = {"orc.stripe.size": str(64 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 
@@ -73,7 +76,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema("doc_id long, part int, before long, n_tokens long, tokens array<int>").orc(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    bases = stored(totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")
+    if bases.count() <= MOST_SENT:
+        bases = F.broadcast(bases)
     return files.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "tokens")
 
 
