@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from subweave.plans.pattern import Pattern
 
-#: The driver's table as a graph: suppliers that share an order, or parts on neighbouring lines of one.
+#: The driver's table as a graph: suppliers that share an order, or parts on neighbouring lines of one; lines is over all of them.
 GRAPHS = {
     "supp": ("l_suppkey", "x.l_linenumber < y.l_linenumber", "x.l_quantity >= 46 AND y.l_quantity >= 46"),
     "part": ("l_partkey", "x.l_linenumber + 1 = y.l_linenumber", "x.l_returnflag = 'R'"),
+    "lines": ("l_partkey", "x.l_linenumber + 1 = y.l_linenumber", "true"),
 }
 
 
