@@ -11,9 +11,11 @@ A document linked with another shares at least the threshold's part of its own s
    them, even over others, never meet again: they fall into groups.
 4. Each group is searched in memory, several small groups at a time; a larger one is dealt into blocks, and every two blocks
    meet in a task of their own. The search is DivideSkip: a document's shortest inverted lists are merged, documents found
-   often enough there are probed in its longest lists by binary search, and those that reach the overlap are linked. A document
-   that is linked once leaves the index, so a group of copies costs one pass and gives a tree of links, not all pairs.
-5. Links are contracted to components.
+   often enough there are counted in its longest lists, by binary search where they are few, and those that reach the overlap
+   are linked. A document leaves the index after its own search, and blocks meet themselves in one task, so every pair of
+   different sets that are linked is found once. A task sums its links by set, weighted by copies; pairs() gives them as rows.
+   Where only components are asked for, a document leaves the index once it is linked, which gives a tree of links.
+5. Links are contracted to components. Of the links of a task those go there that connect what was not connected before.
 
 Shingles are compared by 64-bit hashes, sets by 128-bit ones.
 
@@ -291,13 +293,16 @@ class Index:
             return order[:0]
         n_long = min(need - 1, math.ceil(need / (MU * math.log2(longest + 1) + 1)))
         short, long = terms[order[: n - n_long]], terms[order[n - n_long :]]
-        # merge the short lists
-        a, size = self._lists[short], length[order[: n - n_long]]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        found, count = np.unique(self._flat[at] % len(self.sizes), return_counts=True)
+        found, count = self._merged(short, length[order[: n - n_long]])
         good = (count >= need - n_long) & (found >= lo) & (found < hi) & self.alive[found] & (found != q)
         found, count = found[good], count[good]
-        # probe the long ones
+        # count in the long ones: merged too where that reads less than a binary search for each
+        size = length[order[n - n_long :]]
+        if len(found) * len(long) > size.sum() + len(self.sizes):
+            total = np.zeros(len(self.sizes), np.int64)
+            some, more = self._merged(long, size)
+            total[some] = more
+            return found[count + total[found] >= t.overlap(n, self.sizes[found])]
         out, step = [], max(1, (1 << 18) // max(1, len(long)))
         for i in range(0, len(found), step):
             some = found[i : i + step]
@@ -307,6 +312,16 @@ class Index:
             out.append(some[total >= t.overlap(n, self.sizes[some])])
         return np.concatenate(out) if out else found
 
+    def _merged(self, terms: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets in the lists of some terms, and in how many of them each is."""
+        at = np.repeat(self._lists[terms] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        owners = self._flat[at] % len(self.sizes)
+        if len(owners) < len(self.sizes):
+            return np.unique(owners, return_counts=True)
+        count = np.bincount(owners, minlength=len(self.sizes))
+        found = np.flatnonzero(count)
+        return found, count[found]
+
 
 def linked(sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]]:
     """Links between sets that connect what is connected, one fewer than each component has members."""
@@ -326,7 +341,30 @@ def linked(sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]
     return out
 
 
-def _search(threshold: Threshold) -> Callable:
+def all_links(sets: list[np.ndarray], threshold: Threshold, own: np.ndarray, within: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set with the sets it is linked with, every link once: those between sets of different blocks, and in the blocks of within."""
+    order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])))
+    index = Index([sets[i] for i in order], threshold)
+    inside = np.isin(own, list(within))
+    for q, i in enumerate(order.tolist()):
+        index.drop(q)
+        found = order[index.search(q)]
+        found = found[(own[found] != own[i]) | inside[i]]
+        if len(found):
+            yield i, found
+
+
+def _tile(key: tuple, table: pa.Table, threshold: Threshold) -> tuple[list[bytes], Iterator[tuple[int, np.ndarray]]]:
+    """The keys and links of one task. A large group's block b meets itself together with block 0, and block 0 with block 1."""
+    keys, sets = table.column("set_key").to_pylist(), _binary(table.column("shingles"), "<u8")
+    own, i, j = table.column("own").to_numpy(), key[1].as_py(), key[2].as_py()
+    within = {0} if i < 0 else {j} if i == 0 < j - 1 else {0, 1} if i == 0 else set()
+    return keys, all_links(sets, threshold, own, within) if len(sets) > 1 else iter(())
+
+
+def _tree(threshold: Threshold) -> Callable:
+    """Links that connect what is connected."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         keys, sets = table.column("set_key").to_pylist(), _binary(table.column("shingles"), "<u8")
         found = linked(sets, threshold) if len(sets) > 1 else []
@@ -335,8 +373,51 @@ def _search(threshold: Threshold) -> Callable:
     return run
 
 
-def _links(sets: DataFrame, threshold: Threshold, block: int) -> DataFrame:
-    """Links (a, b) between the sets (set_key, shingles), enough to connect what is connected."""
+def _pairs(threshold: Threshold) -> Callable:
+    """All links."""
+
+    def run(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, links = _tile(key, table, threshold)
+        names = pa.array(keys, pa.binary())
+        for q, found in links:
+            yield pa.RecordBatch.from_arrays([pa.array([keys[q]] * len(found), pa.binary()), names.take(pa.array(found))], names=["a", "b"])
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(run(key, table), pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return whole
+
+
+def _counts(threshold: Threshold) -> Callable:
+    """Links that connect what is connected (a, b), and for each set that has links the documents they lead to (a, n)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keys, links = _tile(key, table, threshold)
+        copies, total = table.column("copies").to_numpy(), np.zeros(len(keys), np.int64)
+        label, members, tree = np.arange(len(keys)), {i: [i] for i in range(len(keys))}, []
+        for q, found in links:
+            total[q] += copies[found].sum()
+            total[found] += copies[q]
+            fresh = found[label[found] != label[q]]
+            for x in fresh[np.unique(label[fresh], return_index=True)[1]].tolist():
+                tree.append((keys[q], keys[x]))
+                a, b = int(label[q]), int(label[x])
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                moved = members.pop(b)
+                label[moved] = a
+                members[a] += moved
+        some = np.flatnonzero(total)
+        a = [x for x, _ in tree] + [keys[i] for i in some.tolist()]
+        b = [y for _, y in tree] + [None] * len(some)
+        n = [None] * len(tree) + total[some].tolist()
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    return run
+
+
+def _links(sets: DataFrame, threshold: Threshold, block: int, search: Callable, schema: str) -> DataFrame:
+    """What the search of each task gives for the sets (set_key, shingles, copies)."""
     sent = sets.sparkSession.sparkContext.broadcast(sketch(sets))
     postings = sets.mapInArrow(_prefixes(sent, threshold), "shingle long, set_key binary")
     stars = postings.groupBy("shingle").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a <> z")
@@ -346,32 +427,57 @@ def _links(sets: DataFrame, threshold: Threshold, block: int) -> DataFrame:
     sizes = held.groupBy("root").agg(F.sum("n").alias("n")).select("root", F.ceil(F.col("n") / F.lit(2 * block)).alias("halves"), F.ceil(F.col("n") / F.lit(block)).alias("blocks"))
     packs = max(1, math.ceil((held.agg(F.sum("n")).first()[0] or 0) / block))
     placed = held.join(sizes, "root")
-    small = placed.where("halves = 1").select("set_key", F.lit(None).cast("binary").alias("root"), F.lit(-1).cast("long").alias("i"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("long").alias("j"))
+    small = placed.where("halves = 1").select("set_key", F.lit(None).cast("binary").alias("root"), F.lit(-1).cast("long").alias("i"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("long").alias("j"), F.lit(0).cast("long").alias("own"))
     own = placed.where("halves > 1").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     other = own.select("set_key", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("own <> other")
-    large = other.select("set_key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    large = other.select("set_key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     tiles = small.unionByName(large).join(sets, "set_key")
-    return tiles.groupBy("root", "i", "j").applyInArrow(_search(threshold), "a binary, b binary")
+    return tiles.groupBy("root", "i", "j").applyInArrow(search, schema)
 
 
-def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Threshold = Threshold(), block: int = BLOCK) -> DataFrame:
-    """A row per document: doc_id, n_shingles, set_key, component (the smallest set key it is connected with) and component_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    all_sets = stored(rows.mapInArrow(_summaries(size), "doc_id long, n_shingles long, set_key binary"), "sets")
+def _summarised(rows: DataFrame, size: int) -> DataFrame:
+    return stored(rows.mapInArrow(_summaries(size), "doc_id long, n_shingles long, set_key binary"), "sets")
+
+
+def _candidates(rows: DataFrame, all_sets: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+    """set_key, shingles and copies of the sets that share enough shingles with others."""
     buckets = max(1, math.ceil((all_sets.agg(F.sum("n_shingles")).first()[0] or 0) / BUCKET))
     counted = rows.select("text").mapInArrow(_sends(size, buckets), _SENT).groupBy("bucket").applyInArrow(_shared, "part int, send int, rows binary, counts binary, keys binary, sizes binary")
     good = stored(counted.groupBy("part", "send").applyInArrow(_enough(threshold), "set_key binary").distinct(), "candidates")
-    by_key = all_sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     sent = rows.sparkSession.sparkContext.broadcast(bloom.key_filter(good, bloom.size_for(good.count(), 16)))
     near = rows.select("text").mapInArrow(_with_sets(size, sent), "set_key binary, shingles binary")
-    sets = stored(near.join(good, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles")), "shingles")
-    roots = stored(components(_links(sets, threshold, block)), "components")
-    named = by_key.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").where("n > 1 or root is not null").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("component"))
-    named = stored(named, "named")
+    return stored(near.join(good, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.count("*").alias("copies")), "shingles")
+
+
+def pairs(docs: DataFrame, text_col: str = "text", size: int = 5, threshold: Threshold = Threshold(), block: int = BLOCK) -> DataFrame:
+    """A row (a, b) per two different shingle sets, by their keys, that are linked. Rows grow with the square of a group's sets."""
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sets = _candidates(rows, _summarised(rows, size), size, threshold)
+    return _links(sets, threshold, block, _pairs(threshold), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Threshold = Threshold(), block: int = BLOCK, links: bool = True) -> DataFrame:
+    """A row per document: doc_id, n_shingles, set_key, component (the smallest set key it is connected with), component_id and, unless links is off, n_links, the other documents it is linked with."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    all_sets = _summarised(rows, size)
+    by_key = all_sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    sets = _candidates(rows, all_sets, size, threshold)
+    if links:
+        found = stored(_links(sets, threshold, block, _counts(threshold), "a binary, b binary, n long"), "links")
+        edges, totals = found.where("b is not null").select("a", "b"), found.where("n is not null").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("others"))
+    else:
+        edges = _links(sets, threshold, block, _tree(threshold), "a binary, b binary")
+    roots = stored(components(edges), "components")
+    named = by_key.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").where("n > 1 or root is not null")
+    if links:
+        named = named.join(totals, "set_key", "left").withColumn("n_links", F.col("n") - 1 + F.coalesce("others", F.lit(0)))
+    counts = ["n_links"] if links else []
+    named = stored(named.select("set_key", "doc_id", F.coalesce("root", "set_key").alias("component"), *counts), "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = named.select("set_key", "component").join(least, "component")
+    names = named.select("set_key", "component", *counts).join(least, "component")
     joined = all_sets.join(names, "set_key", "left")
-    return joined.select("doc_id", "n_shingles", "set_key", F.coalesce("component", "set_key").alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = [F.coalesce(c, F.lit(0)).alias(c) for c in counts]
+    return joined.select("doc_id", "n_shingles", "set_key", F.coalesce("component", "set_key").alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *own)
 
 
 def _keyed(size: int) -> Callable:
@@ -390,7 +496,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Documents without shingles all stay. Columns to carry must not be named set_key or component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    found = clustered(rows, size=size, threshold=threshold).where("component is not null")
+    found = clustered(rows, size=size, threshold=threshold, links=False).where("component is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")).alias("x")
     chosen = stored(found.groupBy("component").agg(first).select(F.col("x.doc_id").alias("chosen"), F.col("x.set_key").alias("chosen_set")), "chosen")
     keyed = rows.mapInArrow(_keyed(size), StructType([*rows.schema, StructField("set_key", BinaryType())]))

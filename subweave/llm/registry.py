@@ -22,6 +22,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.clustered(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with the number of links, which its SQL does not have."""
+    return ngramjoin.clustered(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.ledger(_table(spark, sf_dir, "documents"))
     base = F.col("failed").bitwiseAND(F.lit(quality.BASE.mask(quality.RULES))) != 0
@@ -75,6 +80,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,

@@ -102,3 +102,18 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_all_links_against_brute_force(spark, block):
+    base = [f"w{i}" for i in range(60)]
+    near = [(1000 + k, " ".join(["x" * k, *base[k:], "y" * k])) for k in range(9)]
+    rows = corpus(6, n=80) + near + [(2000 + k, near[4][1]) for k in range(3)]
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    close = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    want = [(k, sum(i != j and bool(close(sets[i], x)) for j, x in enumerate(sets))) for i, (k, _) in enumerate(rows)]
+    got = ngramjoin.clustered(frame(spark, rows), block=block).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    different = {frozenset((a, b)) for a in sets for b in sets if a != b and close(a, b)}
+    found = ngramjoin.pairs(frame(spark, rows), block=block).collect()
+    assert len({tuple(r) for r in found}) == len(found) == len(different)
