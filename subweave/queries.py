@@ -187,9 +187,24 @@ def _queries_without_sql() -> None:
     _add("label_partition", lambda s, d: partition.by_labels(graph(s, d, "lines"), 4), None)
 
 
+def _chosen_queries() -> None:
+    """Over the whole table, with the vertices of more than the mean degree, and with the ends of all edges as pairs."""
+    whole = lambda s, d: graph(s, d, "lines")
+
+    def hubs(s: SparkSession, d: str) -> DataFrame:
+        found = clean.degrees(whole(s, d))
+        return found.crossJoin(found.agg(F.avg("degree").alias("mean"))).where("degree > mean").select("v")
+
+    ends = lambda s, d: whole(s, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    _add("induced_subgraph_whole", lambda s, d: clean.induced(whole(s, d), hubs(s, d)), None)
+    _add("vertex_rows_whole", lambda s, d: clean.rows_of(whole(s, d), hubs(s, d)), None)
+    _add("batch_intersections_whole", lambda s, d: match.batch_intersections(ends(s, d), clean.neighbours(whole(s, d))).select("a", "b", F.size("n").alias("n")), None)
+
+
 _counts()
 _graph_queries()
 _raw_queries()
 _queries_without_sql()
 _counts("lines", "_whole")
 _graph_queries("lines", "_whole")
+_chosen_queries()

@@ -24,3 +24,14 @@ def test_graph_of_all_lines(spark, tmp_path):
         assert queries.QUERIES[name](spark, str(tmp_path)).first()["n"] == len(brute(edges, by_name(name.split("_")[0])))
     for name in ("fennel_partition", "label_partition"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == len({v for e in edges for v in e})
+
+
+def test_chosen_vertices_and_pairs(spark, tmp_path):
+    edges = lines(spark, tmp_path)
+    both = {e for a, b in edges for e in ((a, b), (b, a))}
+    near = {v: {b for a, b in both if a == v} for v, _ in both}
+    hubs = {v for v in near if len(near[v]) > len(both) / len(near)}
+    rows = lambda name: sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert rows("vertex_rows_whole") == sorted(e for e in both if e[0] in hubs)
+    assert rows("induced_subgraph_whole") == sorted(e for e in both if set(e) <= hubs)
+    assert rows("batch_intersections_whole") == sorted((a, b, len(near[a] & near[b])) for a, b in both)
