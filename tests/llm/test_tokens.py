@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import AWKWARD, corpus, frame
 from hypothesis import given, settings
@@ -137,7 +138,52 @@ def test_least_squares_match_counts():
     counts = np.zeros(11, int)
     for c, n in zip(combos, (10, 20, 5), strict=True):
         np.add.at(counts, c[c > 0], n)
-    assert np.allclose(packing.repeats(combos, counts, 2000), [10, 20, 5], atol=0.1)
+    assert np.allclose(packing.LeastSquares(combos, counts).solved(), [10, 20, 5], atol=1e-6)
+
+
+def test_least_squares_against_every_support():
+    """Of all supports, the best solution without negative repeats has the same residual."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        combos = np.sort(rng.integers(0, 7, (6, 3)), axis=1)
+        combos = combos[combos[:, 2] > 0]
+        target = rng.integers(0, 30, 7)
+        problem = packing.LeastSquares(combos, target)
+        a = np.zeros((7, len(combos)))
+        for i, c in enumerate(combos):
+            np.add.at(a[:, i], c[c > 0], 1)
+        want = min(
+            float(((a[:, list(own)] @ x - problem.target) ** 2).sum())
+            for k in range(len(combos) + 1)
+            for own in itertools.combinations(range(len(combos)), k)
+            if ((x := np.linalg.lstsq(a[:, list(own)], problem.target, rcond=None)[0]) >= -1e-9).all()
+        )
+        assert abs(float((problem.residual(problem.solved()) ** 2).sum()) - want) < 1e-5
+
+
+def _table_counts(sf: str) -> np.ndarray:
+    docs = pq.read_table(f"/root/testdata/sf{sf}/documents.parquet").column("text").combine_chunks()
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.no_truncation()
+    own.no_padding()
+    rests = [len(x.ids) + 1 for x in own.encode_batch_fast([t or "" for t in docs.to_pylist()], add_special_tokens=False)]
+    return np.bincount(np.array(rests) % 2048, minlength=2049)
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_solutions_fill_most_windows(times):
+    """At least 90 % of the windows of rests come from the least squares, and the plan has a bound that the counts do not move."""
+    for counts in (_table_counts("0.01"), np.bincount(np.random.default_rng(1).lognormal(6.2, 0.8, 10_000).astype(int) % 2047 + 1, minlength=2049)):
+        counts = counts * times
+        counts[0] = 0
+        left = counts.copy()
+        solved = sum(n for _, n in packing.solved_fillings(left, 2048))
+        fillings = packing.plan(counts, 2048)
+        assert solved >= 0.9 * sum(n for _, n in fillings)
+        assert len(fillings) <= packing.ROUNDS * 2048 + 2048 * (np.log(2048) + 1)
+        assert (left * np.arange(2049)).sum() <= 0.1 * (counts * np.arange(2049)).sum()
 
 
 def test_token_files(spark, tmp_path):
