@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import AWKWARD, corpus, frame
 
@@ -27,17 +28,39 @@ def result(df):
     return sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("most_sent", [linededup.MOST_SENT, 0])
-def test_against_brute_force(spark, most_sent):
+@pytest.mark.parametrize(("most_sent", "most_hashes", "range_keys"), [(linededup.MOST_SENT, linededup.MOST_HASHES, linededup.RANGE_KEYS), (2, 0, 50), (0, 3, 7)])
+def test_against_brute_force(spark, most_sent, most_hashes, range_keys):
     rows = corpus(6, n=80) + AWKWARD
     for min_docs, min_chars in ((10, 1), (2, 1), (2, 12)):
-        got = linededup.dedup_lines(frame(spark, rows, extra=True), min_docs=min_docs, min_chars=min_chars, most_sent=most_sent)
+        got = linededup.dedup_lines(frame(spark, rows, extra=True), min_docs=min_docs, min_chars=min_chars, most_sent=most_sent, most_hashes=most_hashes, range_keys=range_keys)
         assert result(got) == brute(rows, min_docs, min_chars)
 
 
-def test_filters_of_the_least_size_stay_exact(spark):
-    rows = [(i, f"line {i % 30}\nline {i % 7} x\nonly {i}") for i in range(120)]
-    assert result(linededup.dedup_lines(frame(spark, rows), min_docs=4, most_bits=1 << 20)) == brute(rows, 4)
+def test_columns_to_carry(spark):
+    rows = [(i, f"line {i % 3}\nonly {i}") for i in range(30)]
+    docs = frame(spark, rows).selectExpr("*", "doc_id * 2 as key", "'h' as hash", "struct(doc_id as text) as n_docs")
+    for most_sent in (100, 0):
+        got = linededup.dedup_lines(docs, min_docs=5, most_sent=most_sent, carry=("key", "hash", "n_docs")).collect()
+        assert sorted((r["doc_id"], r["text"], r["key"], r["hash"], r["n_docs"]["text"]) for r in got) == [(i, f"only {i}", 2 * i, "h", i) for i in range(30)]
+
+
+@pytest.mark.parametrize("bits", [1 << 4, 1 << 14])
+def test_filters_lose_no_repeat(bits):
+    """Every hash in enough documents is a suspect, however small the filters are; large ones let few others pass."""
+    rng = np.random.default_rng(1)
+    parts = []
+    for _ in range(5):
+        h, n = np.unique(rng.integers(0, 1000, 80).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_counts=True)
+        parts.append((h, n))
+    total = Counter()
+    for h, n in parts:
+        total.update(dict(zip(h.tolist(), n.tolist(), strict=True)))
+    for min_docs in (2, 3):
+        got, passed = linededup.suspects(parts, bits, min_docs)
+        assert set(got.tolist()) == {h for h, n in total.items() if n >= min_docs}
+        assert passed >= sum(n > 1 for n in total.values())
+    if bits > 1 << 10:
+        assert passed < sum(n > 1 for n in total.values()) + 0.1 * len(total)
 
 
 def test_first_occurrence(spark):
