@@ -6,17 +6,22 @@ A document linked with another shares at least the threshold's part of its own s
 2. Shingles are dealt out as 32-bit rests of 64-bit hashes, and each document learns how many of its own occur anywhere else.
    A task sends a shingle that several of its documents have only once. Rests that fall together only keep a document in.
 3. Documents with enough shared shingles stay; a Bloom filter of their keys, of a fixed largest size, tells the tasks that read
-   the texts again which sets to send on. A sketch of counts (4 MB at any size) orders shingles from rare to frequent.
+   the texts again which sets to send on. A sketch of counts, with a byte for each shingle of what stays up to MOST_SLOTS, orders
+   shingles from rare to frequent. Any order gives the same links; a coarse one only makes groups larger.
    Two linked documents have one of their n - ceil(t n) + 1 rarest shingles in common, so documents that share none of
    them, even over others, never meet again: they fall into groups.
-4. Each group is searched in memory, several small groups at a time; a larger one is dealt into blocks, and every two blocks
-   meet in a task of their own. The search is DivideSkip: a document's shortest inverted lists are merged, documents found
-   often enough there are counted in its longest lists, by binary search where they are few, and those that reach the overlap
-   are linked. A document leaves the index after its own search, and blocks meet themselves in one task, so every pair of
-   different sets that are linked is found once. A task sums its links by set, weighted by copies; pairs() gives them as rows.
-   Where only components are asked for, a document leaves the index once it is linked, which gives a tree of links.
+4. Each group is searched in memory, several small groups at a time. A larger one is dealt into blocks by the size of the sets, and
+   two blocks meet in a task of their own where sets of their sizes can be linked at all. The search is DivideSkip: a document's
+   shortest inverted lists are merged, documents found often enough there are counted in its longest lists, by binary search
+   where they are few, and those that reach the overlap are linked. The merge sorts the short lists together as arrays
+   instead of taking their heads from a heap one by one; it gives the same counts. A document leaves the index after its own
+   search, so every pair of different sets that are linked is found once. A task sums its links by set, weighted by copies;
+   pairs() gives them as rows. Where only components are asked for, a document leaves the index once it is linked, which gives
+   a tree of links.
 5. Links are contracted to components. Of the links of a task those go there that connect what was not connected before.
 
+Rows that meet by a key that may be common (a shingle, a group, a set with many copies) meet by hot.unique_join.
+
 Shingles are compared by 64-bit hashes, sets by 128-bit ones.
 
 Nulls, empties, ties: a null text, or one without words, has no shingles and is linked with nothing; a text of fewer words than
@@ -35,21 +40,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from subweave.llm import bloom
 from subweave.llm.components import components
-from subweave.llm.store import stored
+from subweave.llm.hot import unique_join
 from subweave.llm.text import Texts, chained, mix, sliced
+from subweave.store import stored
 
 #: Shingles of one bucket of the counting step and of one block of the search, and of one send of a task.
 BUCKET = BLOCK = 1 << 20
 SEND = 1 << 19
 #: Documents of one send at most; the last number stands for several.
 SEND_DOCS, SEVERAL = 60_000, 0xFFFF
-SKETCH, SKETCH_PART = 1 << 20, 1 << 14
+#: Slots of the sketch at least and at most, of one piece of it, and slots that a task holds before it sends them.
+LEAST_SLOTS, MOST_SLOTS, SKETCH_PART, HELD = 1 << 16, 1 << 27, 1 << 16, 1 << 21
 #: Weight of the binary search against the merge when a query's lists are divided.
 MU = 0.01
 
@@ -203,37 +210,52 @@ def _enough(threshold: Threshold) -> Callable:
     return run
 
 
-def _slots(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(20)) & np.uint64(SKETCH - 1)
+def _slots(found: np.ndarray, slots: int) -> np.ndarray:
+    return (found >> np.uint64(20)) & np.uint64(slots - 1)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.int64)
-    for batch in batches:
-        for x in batch.column("shingles").to_pylist():
-            np.add.at(total, _slots(np.frombuffer(x, "<u8")), 1)
-    at = np.flatnonzero(total)
-    cuts = np.flatnonzero(np.diff(at // SKETCH_PART, prepend=-1)) if len(at) else at
-    pieces = [at[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True)] if len(at) else []
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([int(p[0] // SKETCH_PART) for p in pieces], pa.int32()), pa.array([(p % SKETCH_PART).astype("<u4").tobytes() for p in pieces], pa.binary()), pa.array([total[p].astype("<i8").tobytes() for p in pieces], pa.binary())],
-        names=["piece", "slots", "counts"],
-    )
+def _sketched(slots: int) -> Callable:
+    def pieces(held: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.flatnonzero(np.diff(at // np.uint64(SKETCH_PART), prepend=np.uint64(slots)))
+        ends = np.append(cuts[1:], len(at))
+        out = [(int(at[a]) // SKETCH_PART, (at[a:b] % np.uint64(SKETCH_PART)).astype("<u2").tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+        columns = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["piece", "slots", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for x in batch.column("shingles").to_pylist():
+                held.append(_slots(np.frombuffer(x, "<u8"), slots))
+                n += len(held[-1])
+                if n >= HELD:
+                    yield pieces(held)
+                    held, n = [], 0
+        if n:
+            yield pieces(held)
+
+    return run
 
 
-def _summed(key: tuple, table: pa.Table) -> pa.Table:
-    total = np.zeros(SKETCH_PART, "<i8")
-    for at, n in zip(_binary(table.column("slots"), "<u4"), _binary(table.column("counts"), "<i8"), strict=True):
-        total[at] += n
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["piece", "counts"])
+def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One piece: 0 and 1 as they are, then logarithms."""
+    total = np.zeros(SKETCH_PART, np.int64)
+    for batch in batches:
+        for at, n in zip(_binary(batch.column("slots"), "<u2"), _binary(batch.column("counts"), "<u4"), strict=True):
+            total[at] += n
+    levels = np.where(total < 2, total, 1 + np.ceil(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["piece", "levels"])
 
 
 def sketch(sets: DataFrame) -> np.ndarray:
-    """Upper bounds of how many sets have a shingle, by slot. Of fixed size."""
-    rows = sets.select("shingles").mapInArrow(_sketched, "piece int, slots binary, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, counts binary").collect()
-    out = np.zeros(SKETCH, np.int32)
-    for r in rows:
-        out[r["piece"] * SKETCH_PART :][:SKETCH_PART] = np.frombuffer(r["counts"], "<i4")
+    """By slot how many sets have a shingle there, as levels that ascend. A slot for each shingle of a set, as far as MOST_SLOTS allows."""
+    n = sets.agg(F.sum(F.octet_length("shingles") / 8).cast("long")).first()[0] or 0
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (n - 1).bit_length())) if n else LEAST_SLOTS
+    rows = sets.select("shingles").mapInArrow(_sketched(slots), "piece int, slots binary, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, levels binary")
+    out = np.zeros(slots, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["piece"] * SKETCH_PART :][:SKETCH_PART] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
@@ -244,7 +266,7 @@ def _prefixes(sent, threshold: Threshold) -> Callable:
             hashes, owners = [], []
             for k, x in zip(batch.column("set_key").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 found = np.frombuffer(x, "<u8")
-                n = known[_slots(found)]
+                n = known[_slots(found, len(known))]
                 order = np.lexsort((found, n))[: len(found) - threshold.least(len(found)) + 1]
                 found = found[order][n[order] > 1]
                 hashes.append(found.view(np.int64))
@@ -341,25 +363,24 @@ def linked(sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]
     return out
 
 
-def all_links(sets: list[np.ndarray], threshold: Threshold, own: np.ndarray, within: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each set with the sets it is linked with, every link once: those between sets of different blocks, and in the blocks of within."""
+def all_links(sets: list[np.ndarray], threshold: Threshold, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set with the sets it is linked with, every link once; where there are two blocks, only links between them."""
     order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])))
     index = Index([sets[i] for i in order], threshold)
-    inside = np.isin(own, list(within))
+    cross = len(np.unique(own)) > 1
     for q, i in enumerate(order.tolist()):
         index.drop(q)
         found = order[index.search(q)]
-        found = found[(own[found] != own[i]) | inside[i]]
+        if cross:
+            found = found[own[found] != own[i]]
         if len(found):
             yield i, found
 
 
-def _tile(key: tuple, table: pa.Table, threshold: Threshold) -> tuple[list[bytes], Iterator[tuple[int, np.ndarray]]]:
-    """The keys and links of one task. A large group's block b meets itself together with block 0, and block 0 with block 1."""
+def _tile(table: pa.Table, threshold: Threshold) -> tuple[list[bytes], Iterator[tuple[int, np.ndarray]]]:
+    """The keys and links of one task."""
     keys, sets = table.column("set_key").to_pylist(), _binary(table.column("shingles"), "<u8")
-    own, i, j = table.column("own").to_numpy(), key[1].as_py(), key[2].as_py()
-    within = {0} if i < 0 else {j} if i == 0 < j - 1 else {0, 1} if i == 0 else set()
-    return keys, all_links(sets, threshold, own, within) if len(sets) > 1 else iter(())
+    return keys, all_links(sets, threshold, table.column("own").to_numpy()) if len(sets) > 1 else iter(())
 
 
 def _tree(threshold: Threshold) -> Callable:
@@ -377,7 +398,7 @@ def _pairs(threshold: Threshold) -> Callable:
     """All links."""
 
     def run(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, links = _tile(key, table, threshold)
+        keys, links = _tile(table, threshold)
         names = pa.array(keys, pa.binary())
         for q, found in links:
             yield pa.RecordBatch.from_arrays([pa.array([keys[q]] * len(found), pa.binary()), names.take(pa.array(found))], names=["a", "b"])
@@ -392,7 +413,7 @@ def _counts(threshold: Threshold) -> Callable:
     """Links that connect what is connected (a, b), and for each set that has links the documents they lead to (a, n)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, links = _tile(key, table, threshold)
+        keys, links = _tile(table, threshold)
         copies, total = table.column("copies").to_numpy(), np.zeros(len(keys), np.int64)
         label, members, tree = np.arange(len(keys)), {i: [i] for i in range(len(keys))}, []
         for q, found in links:
@@ -419,22 +440,36 @@ def _counts(threshold: Threshold) -> Callable:
 def _links(sets: DataFrame, threshold: Threshold, block: int, search: Callable, schema: str) -> DataFrame:
     """What the search of each task gives for the sets (set_key, shingles, copies)."""
     sent = sets.sparkSession.sparkContext.broadcast(sketch(sets))
-    postings = sets.mapInArrow(_prefixes(sent, threshold), "shingle long, set_key binary")
-    stars = postings.groupBy("shingle").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a <> z")
-    groups = components(postings.join(stars, "shingle").select("a", F.col("set_key").alias("b")))
+    postings = stored(sets.mapInArrow(_prefixes(sent, threshold), "shingle long, set_key binary"), "postings")
+    stars = postings.groupBy("shingle").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a <> z").drop("z")
+    groups = components(unique_join(postings, stars, "shingle").where("a is not null").select("a", F.col("set_key").alias("b")))
     held = sets.select("set_key", (F.octet_length("shingles") / 8).cast("long").alias("n")).join(groups.select(F.col("node").alias("set_key"), "root"), "set_key")
     held = stored(held, "groups")
-    sizes = held.groupBy("root").agg(F.sum("n").alias("n")).select("root", F.ceil(F.col("n") / F.lit(2 * block)).alias("halves"), F.ceil(F.col("n") / F.lit(block)).alias("blocks"))
-    packs = max(1, math.ceil((held.agg(F.sum("n")).first()[0] or 0) / block))
-    placed = held.join(sizes, "root")
-    small = placed.where("halves = 1").select("set_key", F.lit(None).cast("binary").alias("root"), F.lit(-1).cast("long").alias("i"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("long").alias("j"), F.lit(0).cast("long").alias("own"))
-    own = placed.where("halves > 1").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
-    other = own.select("set_key", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("own <> other")
-    large = other.select("set_key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    tiles = small.unionByName(large).join(sets, "set_key")
+    sizes = stored(held.groupBy("root").agg(F.sum("n").alias("total")), "sizes")
+    large = sizes.where(F.col("total") > 2 * block).select("root")
+    packs = max(1, math.ceil((sizes.agg(F.sum("total")).first()[0] or 0) / block))
+    of_large = unique_join(held, large.withColumn("large", F.lit(True)), "root")
+    small = of_large.where("large is null").select("set_key", F.lit(None).cast("binary").alias("root"), F.lit(-1).cast("long").alias("i"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("long").alias("j"), F.lit(0).cast("long").alias("own"))
+    tiles = small.unionByName(_dealt_by_size(of_large.where("large").drop("large"), threshold, block)).join(sets, "set_key")
     return tiles.groupBy("root", "i", "j").applyInArrow(search, schema)
 
 
+def _dealt_by_size(held: DataFrame, threshold: Threshold, block: int) -> DataFrame:
+    """Sets of large groups (set_key, n, root) by the tiles (root, i, j) they go to, i to j where blocks of their sizes can have links."""
+    key = F.struct("root", "n")
+    of_size = held.groupBy("root", "n").agg(F.sum("n").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = of_size.select(key.alias("key"), before.alias("before"), "all")
+    share = F.pmod(F.xxhash64("set_key"), F.lit(1 << 20)) / (1 << 20)
+    placed = unique_join(held.withColumn("key", key), starts, "key").withColumn("own", F.floor((F.col("before") + share * F.col("all")) / block))
+    placed = stored(placed.select("set_key", "root", "n", "own"), "blocks")
+    blocks = stored(placed.groupBy("root", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "block-sizes")
+    a, b = blocks.select("root", F.col("own").alias("i"), F.col("hi").alias("most")), blocks.select("root", F.col("own").alias("j"), F.col("lo").alias("least"))
+    meeting = a.join(b, "root").where((F.col("i") <= F.col("j")) & (F.col("most") * threshold.den >= F.col("least") * threshold.num))
+    sides = meeting.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    return placed.join(sides, ["root", "own"]).select("set_key", "root", "i", "j", "own")
+
+
 def _summarised(rows: DataFrame, size: int) -> DataFrame:
     return stored(rows.mapInArrow(_summaries(size), "doc_id long, n_shingles long, set_key binary"), "sets")
 
@@ -474,8 +509,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     counts = ["n_links"] if links else []
     named = stored(named.select("set_key", "doc_id", F.coalesce("root", "set_key").alias("component"), *counts), "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = named.select("set_key", "component", *counts).join(least, "component")
-    joined = all_sets.join(names, "set_key", "left")
+    names = stored(unique_join(named.select("set_key", "component", *counts), least, "component"), "names")
+    joined = unique_join(all_sets, names, "set_key")
     own = [F.coalesce(c, F.lit(0)).alias(c) for c in counts]
     return joined.select("doc_id", "n_shingles", "set_key", F.coalesce("component", "set_key").alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *own)
 
@@ -493,12 +528,16 @@ def _keyed(size: int) -> Callable:
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Threshold = Threshold(), carry: tuple[str, ...] = ()) -> DataFrame:
     """One document of each component: the one with the smallest id, then the smallest set key and text. Columns: doc_id, text, those to carry.
 
-    Documents without shingles all stay. Columns to carry must not be named set_key or component.
+    Documents without shingles all stay. Columns to carry must not be named set_key, chosen, chosen_set, again or again_set.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    found = clustered(rows, size=size, threshold=threshold, links=False).where("component is not null")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")).alias("x")
-    chosen = stored(found.groupBy("component").agg(first).select(F.col("x.doc_id").alias("chosen"), F.col("x.set_key").alias("chosen_set")), "chosen")
+    all_sets = _summarised(rows.select("doc_id", "text"), size)
+    found = all_sets.where("set_key is not null")
+    edges = _links(_candidates(rows, all_sets, size, threshold), threshold, BLOCK, _tree(threshold), "a binary, b binary")
+    roots = stored(components(edges), "components")
+    first = found.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x"))
+    of_set = first.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(F.coalesce("root", "set_key").alias("component"), F.struct("x.none", "x.doc_id", "set_key").alias("x"))
+    chosen = stored(of_set.groupBy("component").agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias("chosen"), F.col("x.set_key").alias("chosen_set")), "chosen")
     keyed = rows.mapInArrow(_keyed(size), StructType([*rows.schema, StructField("set_key", BinaryType())]))
     kept = keyed.join(chosen, F.expr("doc_id <=> chosen and set_key = chosen_set"), "left_semi")
     without = keyed.where("set_key is null").select(*rows.columns)

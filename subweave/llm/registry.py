@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subweave.llm import bpe, chat, imatch, licenses, linededup, ngramjoin, packing, quality, tokenfiles, urls
-from subweave.llm.store import new_path
+from subweave.store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,6 +49,28 @@ def test_awkward_rows(spark):
     assert sorted(map(tuple, got), key=key) == sorted(brute(AWKWARD), key=key)
 
 
+def test_many_copies_of_one_text(spark):
+    """One set has more than its share of the rows, and one group of links too."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words)) for i in range(300)] + [(1000 + i, " ".join([*words, f"x{i}"])) for i in range(60)] + [(2000 + i, None) for i in range(50)] + corpus(9, n=60)
+    got = ngramjoin.clustered(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_blocks_of_sizes_lose_no_link(spark):
+    """Groups far larger than a block, of sets of one size and of many sizes."""
+    rng = random.Random(4)
+    chain = [(i, " ".join(f"c{k}" for k in range(i, i + 60))) for i in range(0, 120, 2)]
+    nested = [(1000 + n, " ".join(f"n{k}" for k in range(n))) for n in range(20, 90)]
+    rows = chain + nested
+    rng.shuffle(rows)
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    want = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert ngramjoin.pairs(frame(spark, rows), block=150).count() == want
+    got = ngramjoin.clustered(frame(spark, rows), block=150, links=False).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
 def test_empty_table(spark):
     assert ngramjoin.clustered(frame(spark, [])).collect() == []
     assert ngramjoin.without_near_duplicates(frame(spark, [])).collect() == []
@@ -84,7 +106,8 @@ def test_search_against_all_pairs():
         assert sorted(index.search(q).tolist()) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 4])
+def test_components(spark, chunk):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(500, 500 + i) for i in range(1, 20)] + [(7, 7)]
     root = {}
@@ -99,7 +122,7 @@ def test_components(spark):
         if a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), chunk).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
