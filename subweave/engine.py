@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from subweave.operators import match
+from subweave.operators import clean, match
 from subweave.plans import planner, reuse
 from subweave.plans.pattern import Pattern, by_name
 from subweave.plans.planner import Level
@@ -33,9 +33,15 @@ def _order(pattern: Pattern, order: str | tuple[int, ...]) -> tuple[int, ...]:
     return out
 
 
-def count(adj: DataFrame, pattern: Pattern | str, algorithm: str = "lazy", order: str | tuple[int, ...] = "hand", level: Level = Level.LAZY, ordered: bool = True) -> DataFrame:
-    """One row with n. ordered: break symmetries; else all embeddings count."""
+def count(adj: DataFrame, pattern: Pattern | str, algorithm: str = "lazy", order: str | tuple[int, ...] = "hand", level: Level = Level.LAZY, ordered: bool = True, by_degree: bool | None = None) -> DataFrame:
+    """One row with n. ordered: break symmetries; else all embeddings count.
+
+    by_degree: number vertices by degree first, so that no hub's neighbours are paired with each other. Unless it is said, patterns
+    whose order is total are counted so.
+    """
     own = _pattern(pattern, ordered)
+    if own.totally_ordered() if by_degree is None else by_degree:
+        adj = clean.by_degree(adj)
     return ALGORITHMS[algorithm](adj, own, _order(own, order), level)
 
 
@@ -45,6 +51,14 @@ def matches(adj: DataFrame, pattern: Pattern | str, order: str | tuple[int, ...]
     return match.instances(adj, own, _order(own, order))
 
 
+def profile(adj: DataFrame, pattern: Pattern | str, order: str | tuple[int, ...] = "hand") -> dict[int, int]:
+    """Runs the pattern and says how many partial matches of each number of vertices there were."""
+    own = _pattern(pattern, True)
+    rows, found = match.profiled(adj, own, _order(own, order))
+    rows.write.format("noop").mode("overwrite").save()
+    return {k: x.get["rows"] for k, x in found.items()}
+
+
 def explain(pattern: Pattern | str, order: str | tuple[int, ...] = "hand", level: Level = Level.LAZY) -> str:
     own = _pattern(pattern, True)
     return planner.explain(own, _order(own, order), level)

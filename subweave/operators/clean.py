@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subweave.store import stored
+
 #: Rows that are numbered in one task, and stretches at most.
 STRETCH_ROWS, MOST_STRETCHES = 1 << 20, 4096
 
@@ -43,42 +45,42 @@ def stretch_of(bounds: list, value: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), go)
 
 
-def numbered(rows: DataFrame, by: str, name: str = "number", stretch_rows: int = STRETCH_ROWS) -> DataFrame:
-    """The rows with a number from 0 in the order of a bigint column without repeats."""
+def numbered(rows: DataFrame, by: str, name: str = "number", stretch_rows: int = STRETCH_ROWS, then: str | None = None) -> DataFrame:
+    """The rows with a number from 0 in the order of a bigint column; rows that are equal there are in the order of then."""
     n = min(MOST_STRETCHES, math.ceil(rows.count() / stretch_rows))
     cuts = rows.select(F.percentile_approx(by, [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
     placed = rows.withColumn("_stretch", stretch_of(sorted(set(cuts or [])), F.col(by)))
     before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("_stretch").count().select("_stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("_stretch").orderBy(by))
+    nth = F.row_number().over(Window.partitionBy("_stretch").orderBy(by, *([then] if then else [])))
     return placed.join(F.broadcast(bases), "_stretch").withColumn(name, F.col("_base") + nth - 1).drop("_stretch", "_base")
 
 
-def relabelled(adj: DataFrame) -> DataFrame:
-    """The same graph with vertices 0..k-1 in the order of their ids; vertices without edges are gone."""
-    ids = numbered(vertices(adj), "v")
+def _renamed(adj: DataFrame, ids: DataFrame) -> DataFrame:
+    """adj by the numbers of its vertices (v, number)."""
+    ids = stored(ids.select("v", "number"), "ids")
     a = ids.select(F.col("v").alias("src"), F.col("number").alias("a"))
     b = ids.select(F.col("v").alias("dst"), F.col("number").alias("b"))
     return adj.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def relabelled(adj: DataFrame) -> DataFrame:
+    """The same graph with vertices 0..k-1 in the order of their ids; vertices without edges are gone."""
+    return _renamed(adj, numbered(vertices(adj), "v"))
+
+
 def cleaned(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """The whole preparation: both directions, no loops, no parallel edges, dense vertices."""
-    return relabelled(without_parallels(without_loops(symmetric(edges, src, dst))))
+    return relabelled(stored(without_parallels(without_loops(symmetric(edges, src, dst))), "edges"))
 
 
 def by_degree(adj: DataFrame) -> DataFrame:
-    """The same graph with vertices numbered by degree, then id.
+    """The same graph with vertices numbered by degree, those of one degree by hash, then id.
 
     Counts stay; patterns whose order is total then grow from vertices of few neighbours. Which row stands for a match changes.
     """
-    rank = degrees(adj).withColumn("key", F.col("degree") * (1 << 32) + F.pmod(F.xxhash64("v"), F.lit(1 << 32)))
-    # equal keys are told apart by the id, inside one key
-    within = F.row_number().over(Window.partitionBy("key").orderBy("v"))
-    ids = numbered(rank.withColumn("key", F.col("key") * 8 + F.least(within, F.lit(8)) - 1), "key")
-    a = ids.select(F.col("v").alias("src"), F.col("number").alias("a"))
-    b = ids.select(F.col("v").alias("dst"), F.col("number").alias("b"))
-    return adj.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    rank = degrees(adj).withColumn("key", F.col("degree") * (1 << 24) + F.pmod(F.xxhash64("v"), F.lit(1 << 24)))
+    return _renamed(adj, numbered(rank, "key", then="v"))
 
 
 def neighbours(adj: DataFrame) -> DataFrame:
@@ -118,9 +120,16 @@ def csr(adj: DataFrame) -> DataFrame:
     return rank.join(F.broadcast(bases), "stretch").select("v", (F.col("base") + F.coalesce(F.sum("degree").over(inner), F.lit(0))).alias("offset"), "n")
 
 
+def share_sql(v: str, seed: int = 0) -> str:
+    """A number from 0 to 1 by which a vertex id of 0 or more is chosen, in plain arithmetic, as other engines have it too."""
+    mixed = f"(({v} + {seed}) % 2147483647 * 1103515245 + 12345) % 2147483648"
+    folded = f"({mixed} + ({mixed}) % 46337 * 31607) % 2147483647"
+    return f"CAST(({folded} * 1103515245 + 12345) % 2147483648 AS DOUBLE) / 2147483648"
+
+
 def sampled_vertices(adj: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """The graph induced by a share of the vertices, chosen by hash: the same vertices every time."""
-    keep = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(1_000_000)) < int(ratio * 1_000_000)
+    keep = lambda c: F.expr(share_sql(c, seed)) < ratio
     return adj.where(keep("src") & keep("dst"))
 
 

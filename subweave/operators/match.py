@@ -7,16 +7,18 @@ give the same rows and counts.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from subweave.functions.arrays import holds, intersection, kept, length, pairs, triples
-from subweave.operators.clean import neighbours
+from subweave.operators.clean import degrees, neighbours
 from subweave.plans import planner, reuse
 from subweave.plans.pattern import Pattern
 from subweave.plans.planner import Level, Op, Step
+from subweave.store import stored
 
 
 def _v(u: int) -> str:
@@ -34,16 +36,26 @@ def instances(adj: DataFrame, pattern: Pattern, order: tuple[int, ...] | None =
     Each vertex comes in by an equi-join on one earlier neighbour and is then checked against the others by semi-joins, so
     no partial match is ever wider than its ids.
     """
+    return _instances(lambda a, u: adj, pattern, order)
+
+
+def _instances(edges: Callable[[int, int], DataFrame], pattern: Pattern, order: tuple[int, ...] | None, seen: Callable[[DataFrame, int], DataFrame] = lambda rows, k: rows) -> DataFrame:
+    """edges gives the src and dst that may stand for an edge of the pattern; seen is shown the partial matches of k vertices."""
     order = order or planner.hand_picked(pattern)
-    rows = adj.select(F.col("src").alias(_v(order[0])), F.col("dst").alias(_v(order[1])))
+    rows = edges(order[0], order[1]).select(F.col("src").alias(_v(order[0])), F.col("dst").alias(_v(order[1])))
     rows = _checked(rows, pattern, order[1], [order[0]])
-    for k, u in enumerate(order[2:], 2):
-        anchor, *others = sorted(planner.backward(pattern, order, u), key=lambda w: -order.index(w))
-        step = adj.select(F.col("src").alias(_v(anchor)), F.col("dst").alias(_v(u)))
-        rows = _checked(rows.join(step, _v(anchor)), pattern, u, list(order[:k]))
-        for w in others:
-            rows = rows.join(adj.select(F.col("src").alias(_v(w)), F.col("dst").alias(_v(u))), [_v(w), _v(u)], "left_semi")
-    return rows.select(*(_v(u) for u in range(pattern.n)))
+    return _grown(seen(rows, 2), edges, pattern, order, 2, pattern.n, seen).select(*(_v(u) for u in range(pattern.n)))
+
+
+def profiled(adj: DataFrame, pattern: Pattern, order: tuple[int, ...] | None = None) -> tuple[DataFrame, dict[int, Observation]]:
+    """instances(), and for each number of vertices an observation of how many partial matches (rows) there were, once it has run."""
+    found: dict[int, Observation] = {}
+
+    def seen(rows: DataFrame, k: int) -> DataFrame:
+        found[k] = Observation(f"vertices {k}")
+        return rows.observe(found[k], F.count("*").alias("rows"))
+
+    return _instances(lambda a, u: adj, pattern, order, seen), found
 
 
 def _checked(rows: DataFrame, pattern: Pattern, u: int, others: list[int]) -> DataFrame:
@@ -69,6 +81,19 @@ class _Rows:
         self.todo = list(order[1:])
         self.frame: DataFrame = None  # set by the first step
         self.carried: dict[frozenset[int], str] = {}
+        self.same: dict[frozenset[int], int] = {}  # pairs of vertices whose ids have equal remainders, and by what
+
+    def _conditions(self, u: int) -> list[tuple[str, Column]]:
+        return _conditions(self.pattern, u, self.rows) + [(f"%{self.same[e]}", F.col(_v(w))) for w in self.rows if (e := frozenset((u, w))) in self.same]
+
+    def seed(self, edges: DataFrame) -> None:
+        """Begin with edges (src, dst) for the first two vertices."""
+        a, b = self.order[:2]
+        self.rows, self.todo = [a, b], [*self.order[2:]]
+        self.frame = _checked(edges.select(F.col("src").alias(_v(a)), F.col("dst").alias(_v(b))), self.pattern, b, [a])
+        for u in (a, b):
+            if f"n{u}" in self._needed():
+                self.frame = self.frame.join(self.lists.select(F.col("v").alias(_v(u)), F.col("n").alias(f"n{u}")), _v(u))
 
     def _sources(self, u: int) -> tuple[reuse.Source, ...]:
         if self.plan:
@@ -90,7 +115,7 @@ class _Rows:
         if step.op is Op.MATERIALIZE:
             self._materialize(u)
         elif step.op is Op.FILTER:
-            self.frame = self.frame.withColumn(f"c{u}", kept(F.col(f"c{u}"), _conditions(self.pattern, u, self.rows)))
+            self.frame = self.frame.withColumn(f"c{u}", kept(F.col(f"c{u}"), self._conditions(u)))
             self.frame = self.frame.where(F.size(f"c{u}") > 0)
         elif step.op in (Op.COMPUTE, Op.COMPUTE_COUNT):
             self._compute(u)
@@ -101,7 +126,7 @@ class _Rows:
             self.rows.append(u)
             return
         self.frame = self.frame.withColumn(_v(u), F.explode(f"c{u}")).drop(f"c{u}")
-        for op, w in _conditions(self.pattern, u, self.rows):
+        for op, w in self._conditions(u):
             self.frame = self.frame.where(holds(F.col(_v(u)), op, w))
         self.arrays.remove(u)
         self.rows.append(u)
@@ -129,7 +154,7 @@ class _Rows:
             self.carried[inputs] = "r" + "".join(map(str, sorted(inputs)))
             self.frame = self.frame.withColumn(self.carried[inputs], raw)
             raw = F.col(self.carried[inputs])
-        self.frame = self.frame.withColumn(f"c{u}", kept(raw, _conditions(self.pattern, u, self.rows))).drop(*extra).where(F.size(f"c{u}") > 0)
+        self.frame = self.frame.withColumn(f"c{u}", kept(raw, self._conditions(u))).drop(*extra).where(F.size(f"c{u}") > 0)
         self.arrays.append(u)
         self.todo.remove(u)
         self._trim()
@@ -188,7 +213,7 @@ def edge_intersections(adj: DataFrame, lists: DataFrame | None = None) -> DataFr
     left, right = own.select(F.col("v").alias("a"), F.col("n").alias("na")), own.select(F.col("v").alias("b"), F.col("n").alias("nb"))
     half = adj.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(left, "a").join(right, "b")
     half = half.select("a", "b", intersection([F.col("na"), F.col("nb")]).alias("n"))
-    return half.unionAll(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    return half.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), "n").select("e.a", "e.b", "n")
 
 
 def batch_intersections(pairs_: DataFrame, lists: DataFrame) -> DataFrame:
@@ -205,17 +230,15 @@ def candidate_sizes(adj: DataFrame, pattern: Pattern, order: tuple[int, ...] | N
     return made.frame.select(*(_v(u) for u in sorted(made.rows)), length(F.col(f"c{order[-1]}")).alias("candidates"))
 
 
-def look_ahead(adj: DataFrame, pattern: Pattern, u: int) -> DataFrame:
-    """v: vertices with enough neighbours to stand for vertex u of the pattern. A safe filter before matching."""
-    return adj.groupBy(F.col("src").alias("v")).count().where(F.col("count") >= len(pattern.neighbours(u))).select("v")
+def instances_pruned(adj: DataFrame, pattern: Pattern, order: tuple[int, ...] | None = None) -> DataFrame:
+    """instances() where only vertices with enough neighbours stand for each vertex of the pattern. The degrees travel with the edges."""
+    own = degrees(adj)
+    known = adj.join(own.select(F.col("v").alias("src"), F.col("degree").alias("ds")), "src").join(own.select(F.col("v").alias("dst"), F.col("degree").alias("dd")), "dst")
 
+    def edges(a: int, u: int) -> DataFrame:
+        return known.where((F.col("ds") >= len(pattern.neighbours(a))) & (F.col("dd") >= len(pattern.neighbours(u)))).select("src", "dst")
 
-def instances_pruned(adj: DataFrame, pattern: Pattern, order: tuple[int, ...] | None = None) -> DataFrame:
-    """instances() over edges whose ends can stand for some vertex of the pattern at all."""
-    least = min(len(pattern.neighbours(u)) for u in range(pattern.n))
-    enough = adj.groupBy("src").count().where(F.col("count") >= least).select(F.col("src").alias("_v"))
-    small = adj.join(enough, F.col("src") == F.col("_v"), "left_semi").join(enough, F.col("dst") == F.col("_v"), "left_semi")
-    return instances(small, pattern, order)
+    return _instances(edges, pattern, order)
 
 
 def count_direct(adj: DataFrame, pattern: Pattern) -> DataFrame:
@@ -230,7 +253,7 @@ def _steps(text: str) -> list[Step]:
     return [Step(Op.MATERIALIZE if x[0] == "M" else Op.FILTER if x[0] == "F" else Op.COMPUTE, int(x[1])) for x in text.split()]
 
 
-#: The arrays that the closed forms count, and the forms: pairs without order; three rim vertices around one that touches both others; two arrays, one within the other.
+#: The arrays that the closed forms count, and the forms, which counts must equal: pairs without order; three rim vertices around one that touches both others; two arrays, one within the other.
 _DIRECT = {
     "q2": _steps("M0 C2 M2 C3"),
     "q5": _steps("M0 C2 C4 M2 C1 M4 C3 C5 F1"),
@@ -278,13 +301,15 @@ def seeded(adj: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
     return rows.select(_smallest_crossing(pattern).alias("e")).where("e is not null").groupBy("e.a", "e.b").agg(F.count("*").alias("n"))
 
 
-def _grown(rows: DataFrame, adj: DataFrame, pattern: Pattern, order: tuple[int, ...], lo: int, hi: int) -> DataFrame:
+def _grown(rows: DataFrame, edges: Callable[[int, int], DataFrame], pattern: Pattern, order: tuple[int, ...], lo: int, hi: int, seen: Callable[[DataFrame, int], DataFrame] = lambda rows, k: rows) -> DataFrame:
     """Partial matches of the order's first lo vertices with those up to hi."""
     for k, u in list(enumerate(order))[lo:hi]:
         anchor, *others = sorted(planner.backward(pattern, order, u), key=lambda w: -order.index(w))
-        rows = _checked(rows.join(adj.select(F.col("src").alias(_v(anchor)), F.col("dst").alias(_v(u))), _v(anchor)), pattern, u, list(order[:k]))
+        step = lambda w, u=u: edges(w, u).select(F.col("src").alias(_v(w)), F.col("dst").alias(_v(u)))
+        rows = _checked(rows.join(step(anchor), _v(anchor)), pattern, u, list(order[:k]))
         for w in others:
-            rows = rows.join(adj.select(F.col("src").alias(_v(w)), F.col("dst").alias(_v(u))), [_v(w), _v(u)], "left_semi")
+            rows = rows.join(step(w), [_v(w), _v(u)], "left_semi")
+        rows = seen(rows, k + 1)
     return rows
 
 
@@ -302,11 +327,13 @@ def inter_by_sequences(adj: DataFrame, part: DataFrame, pattern: Pattern, share:
     for prefix, own in groups.items():
         first, k = own[0], len(prefix) if len(own) > 1 else 2
         seeds = crossing.select(F.col("src").alias(_v(first[0])), F.col("dst").alias(_v(first[1])))
-        shared = _grown(_checked(seeds, pattern, first[1], [first[0]]), adj, pattern, first, 2, k)
+        shared = _grown(_checked(seeds, pattern, first[1], [first[0]]), lambda a, u: adj, pattern, first, 2, k)
         shared = shared.select(*(F.col(_v(u)).alias(f"at{i}") for i, u in enumerate(first[:k])))
+        if len(own) > 1:
+            shared = stored(shared, "prefix")
         for order in own:
             rows = shared.select(*(F.col(f"at{i}").alias(_v(u)) for i, u in enumerate(order[:k])))
-            whole = _grown(rows, adj, pattern, order, k, pattern.n)
+            whole = _grown(rows, lambda a, u: adj, pattern, order, k, pattern.n)
             found = whole.select(*(_v(u) for u in range(pattern.n)), _edge(order[0], order[1]).alias("seed"))
             out = found if out is None else out.unionAll(found)
     return _at_smallest(out, part, pattern).agg(F.count("*").alias("n"))
@@ -315,3 +342,26 @@ def inter_by_sequences(adj: DataFrame, part: DataFrame, pattern: Pattern, share:
 def _at_smallest(rows: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
     """The matches whose seed is the smallest of their edges that cross partitions."""
     return _with_parts(rows, part, pattern).where(F.col("seed") == _smallest_crossing(pattern))
+
+
+def inter_lazily(adj: DataFrame, part: DataFrame, pattern: Pattern, k: int) -> DataFrame:
+    """One row with n, matches across partitions, with lazily expanded arrays from every crossing edge. part has pids below k.
+
+    A match is counted at the first edge of the pattern that crosses in it: all earlier ones lie within a partition. Ids are
+    written as id * k + pid for that, which keeps their order.
+    """
+    both = adj.join(part.select(F.col("v").alias("src"), F.col("pid").alias("ps")), "src").join(part.select(F.col("v").alias("dst"), F.col("pid").alias("pd")), "dst")
+    coded = stored(both.select((F.col("src") * k + F.col("ps")).alias("src"), (F.col("dst") * k + F.col("pd")).alias("dst")), "coded")
+    lists = stored(neighbours(coded), "lists")
+    crossing = coded.where(F.col("src") % k != F.col("dst") % k)
+    out = None
+    for i, (edge, order) in enumerate(planner.seeded_orders(pattern).items()):
+        rows = _Rows(coded, pattern, order, lists=lists)
+        rows.same = {frozenset(e): k for e in pattern.edges[:i]}
+        assert edge == order[:2]
+        rows.seed(crossing)
+        for step in planner.sequence(pattern, order, seeded=True):
+            rows.run(step)
+        found = rows.counted()
+        out = found if out is None else out.unionAll(found)
+    return out.agg(F.sum("n").alias("n"))

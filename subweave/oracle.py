@@ -4,20 +4,11 @@ from __future__ import annotations
 
 from subweave.plans.pattern import Pattern
 
-#: The driver's table as a graph: suppliers that share an order, or parts on neighbouring lines of one; lines is over all of them.
-GRAPHS = {
-    "supp": ("l_suppkey", "x.l_linenumber < y.l_linenumber", "x.l_quantity >= 46 AND y.l_quantity >= 46"),
-    "part": ("l_partkey", "x.l_linenumber + 1 = y.l_linenumber", "x.l_returnflag = 'R'"),
-    "lines": ("l_partkey", "x.l_linenumber + 1 = y.l_linenumber", "true"),
-}
-
-
-def graph_ctes(graph: str = "supp") -> str:
-    key, join, keep = GRAPHS[graph]
-    return f"""e AS MATERIALIZED (
-  SELECT DISTINCT least(x.{key}, y.{key}) AS s, greatest(x.{key}, y.{key}) AS d
-  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND {join}
-  WHERE {keep} AND x.{key} <> y.{key}),
+#: The driver's table as a graph: the parts on neighbouring lines of an order.
+GRAPH = """e AS MATERIALIZED (
+  SELECT DISTINCT least(x.l_partkey, y.l_partkey) AS s, greatest(x.l_partkey, y.l_partkey) AS d
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber
+  WHERE x.l_partkey <> y.l_partkey),
 adj AS MATERIALIZED (SELECT s AS src, d AS dst FROM e UNION ALL SELECT d, s FROM e)"""
 
 
@@ -39,11 +30,11 @@ def _conditions(pattern: Pattern, order: tuple[int, ...], k: int, own: str, othe
     return " AND ".join(found) or "true"
 
 
-def count_sql(pattern: Pattern, graph: str = "supp") -> str:
+def count_sql(pattern: Pattern) -> str:
     ctes, last = match_ctes(pattern)
-    return f"WITH {graph_ctes(graph)},\n{ctes}\nSELECT count(*) AS n FROM {last}"
+    return f"WITH {GRAPH},\n{ctes}\nSELECT count(*) AS n FROM {last}"
 
 
-def instances_sql(pattern: Pattern, graph: str = "supp") -> str:
+def instances_sql(pattern: Pattern) -> str:
     ctes, last = match_ctes(pattern)
-    return f"WITH {graph_ctes(graph)},\n{ctes}\nSELECT {', '.join(f'v{u}' for u in range(pattern.n))} FROM {last}"
+    return f"WITH {GRAPH},\n{ctes}\nSELECT {', '.join(f'v{u}' for u in range(pattern.n))} FROM {last}"

@@ -38,6 +38,10 @@ class Pattern:
         """Without symmetry breaking: every embedding counts."""
         return Pattern(self.name, self.n, self.edges)
 
+    def totally_ordered(self) -> bool:
+        """Whether the order leaves one way to sort the vertices."""
+        return any(all((a, b) in self.order for a, b in itertools.pairwise(p)) for p in itertools.permutations(range(self.n)))
+
     def automorphisms(self) -> list[tuple[int, ...]]:
         own = {frozenset(e) for e in self.edges}
         return [p for p in itertools.permutations(range(self.n)) if {frozenset((p[a], p[b])) for a, b in own} == own]

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subweave.operators.clean import csr, neighbours, numbered, symmetric
+from subweave.store import stored
 
 #: Sizes of a vertex id and of an offset in binary files, which stand in their header.
 VERTEX_BYTES, OFFSET_BYTES = 4, 8
@@ -52,51 +53,75 @@ def read_edge_list(spark: SparkSession, path: str, directed: bool = False) -> Da
 
 
 def _in_file_order(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with file, block and row, which order them as they stand."""
+    """Lines with file, block and row, which order them as they stand: Spark reads a block from its start, but blocks in an order of its own."""
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
+def _counted_on(lines: DataFrame, weight: Column, name: str) -> DataFrame:
+    """Lines with the sum of weights of all lines before them, in the order of the files: a block's start and the sum in it."""
+    lines = lines.withColumn("_weight", weight.cast("long"))
+    earlier = Window.unboundedPreceding, -1
+    blocks = lines.groupBy("file", "block").agg(F.sum("_weight").alias("_sum"))
+    bases = blocks.select("file", "block", F.coalesce(F.sum("_sum").over(Window.orderBy("file", "block").rowsBetween(*earlier)), F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum("_weight").over(Window.partitionBy("file", "block").orderBy("row").rowsBetween(*earlier)), F.lit(0))
+    return lines.withColumn("_inner", inner).join(bases, ["file", "block"]).withColumn(name, F.col("_base") + F.col("_inner")).drop("_base", "_inner", "_weight")
+
+
+def _tokens(lines: DataFrame, column: str) -> DataFrame:
+    """at and token: the elements of an array column of all lines in turn, counted from 0."""
+    return _counted_on(lines, F.size(column), "before").select("before", F.posexplode(column).alias("pos", "token")).select((F.col("before") + F.col("pos")).alias("at"), "token")
+
+
+def _in_pairs(tokens: DataFrame) -> DataFrame:
+    """pair, a and b: each two tokens that follow each other; an odd last one is left out."""
+    pairs = tokens.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.min_by("token", "at").alias("a"), F.max_by("token", "at").alias("b"), F.count("*").alias("n"))
+    return pairs.where("n = 2").drop("n")
+
+
 def read_large_ids(spark: SparkSession, path: str, directed: bool = False) -> DataFrame:
-    """Edges of ids of any length: all numbers of the file in turn make pairs, and an id is numbered when it first comes.
+    """Edges of ids of any length: the numbers of all lines that begin with a digit make pairs in turn, also across lines.
 
-    A line with an odd count of numbers is an error.
+    An id is numbered when it first comes. An odd count of numbers is an error.
     """
-    lines = _in_file_order(spark, path).withColumn("x", _numbers(F.col("value")))
-    if lines.where(F.size("x") % 2 == 1).limit(1).count():
-        raise ValueError("a line has an odd count of numbers")
-    tokens = lines.select("file", "block", "row", F.posexplode("x").alias("pos", "token"))
-    first = tokens.groupBy("token").agg(F.min(F.struct("file", "block", "row", "pos")).alias("at"))
-    # the order of first places as a number: row ids of one read do not repeat
-    ranks = numbered(first.select("token", (F.col("at.row") * (1 << 16) + F.col("at.pos")).alias("key")), "key", "id").select("token", "id")
-    half = _token_pairs(lines)
+    lines = _in_file_order(spark, path).where(F.col("value").rlike("^[0-9]")).withColumn("x", _numbers(F.col("value")))
+    if (lines.agg(F.sum(F.size("x"))).first()[0] or 0) % 2:
+        raise ValueError("the file has an odd count of numbers")
+    tokens = _tokens(lines, "x")
+    ranks = numbered(tokens.groupBy("token").agg(F.min("at").alias("at")), "at", "id").select("token", "id")
     a, b = ranks.select(F.col("token").alias("a"), F.col("id").alias("src")), ranks.select(F.col("token").alias("b"), F.col("id").alias("dst"))
-    return _both(half.join(a, "a").join(b, "b").select("src", "dst"), directed)
-
-
-def _token_pairs(lines: DataFrame) -> DataFrame:
-    tokens = lines.select("row", F.posexplode("x").alias("pos", "token")).withColumn("pair", F.floor(F.col("pos") / 2))
-    return tokens.groupBy("row", "pair").agg(F.min_by("token", "pos").alias("a"), F.max_by("token", "pos").alias("b"))
+    return _both(_in_pairs(tokens).join(a, "a").join(b, "b").select("src", "dst"), directed)
 
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of rows `u n v1 .. vn`."""
-    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("x")).where("size(x) > 2")
+    """Edges of rows `u n v1 .. vn`, of one file or of several (paths with commas between)."""
+    rows = spark.read.text(path.split(",")).select(F.split(F.trim("value"), r"\s+").alias("x")).where("size(x) > 2")
     return rows.select(F.col("x")[0].cast("long").alias("src"), F.explode(F.slice("x", F.lit(3), F.col("x")[1].cast("int")).cast("array<bigint>")).alias("dst"))
 
 
 def clean_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Lines paired anew from their numbers (a, b as text), and those that cannot be: an odd count or none."""
-    lines = _in_file_order(spark, path).withColumn("x", _numbers(F.col("value")))
-    good = lines.where("size(x) > 0 and size(x) % 2 = 0")
-    return _token_pairs(good).select("a", "b"), lines.where("size(x) = 0 or size(x) % 2 = 1").select("value")
+    """The numbers of a file paired anew in turn, also across lines, and its other words paired in the same way: pair, a, b as text.
+
+    Lines that begin with # are comments; spaces, tabs and commas part words. An odd count of numbers is an error.
+    """
+    lines = _in_file_order(spark, path).where(~F.col("value").startswith("#")).withColumn("words", F.array_remove(F.split("value", "[ ,\\t]+"), ""))
+    lines = lines.withColumn("x", F.filter("words", lambda w: w.rlike("^[0-9]+$"))).withColumn("rest", F.filter("words", lambda w: ~w.rlike("^[0-9]+$")))
+    if (lines.agg(F.sum(F.size("x"))).first()[0] or 0) % 2:
+        raise ValueError("the file has an odd count of numbers")
+    return _in_pairs(_tokens(lines, "x")), _in_pairs(_tokens(lines, "rest"))
+
+
+def write_clean(spark: SparkSession, path: str, out: str) -> None:
+    """out.clean with a pair of numbers a line, and out.fail with the words that are none, in their order."""
+    for rows, end in zip(clean_lines(spark, path), ("clean", "fail"), strict=True):
+        rows.orderBy("pair").select(F.concat_ws("\t", "a", "b").alias("value")).write.text(f"{out}.{end}")
 
 
 def read_parts(spark: SparkSession, path: str | None, k: int, vertices: DataFrame | None = None) -> DataFrame:
-    """part from a file with the part of vertex 0, 1, .. a line; without a file, or for one part, all are in part 0."""
+    """part from files with the part of vertex 0, 1, .. a line; without a file, or for one part, all are in part 0."""
     if not path or k == 1:
         return vertices.select("v", F.lit(0).alias("pid"))
-    lines = _in_file_order(spark, path).where("trim(value) <> ''").select(F.trim("value").cast("int").alias("pid"), "row")
-    part = numbered(lines, "row", "v").select("v", "pid")
+    lines = _in_file_order(spark, path).where("trim(value) <> ''")
+    part = _counted_on(lines, F.lit(1), "v").select("v", F.trim("value").cast("int").alias("pid"))
     if part.agg(F.max("pid")).first()[0] != k - 1:
         raise ValueError(f"the file has not {k} parts")
     return part
@@ -129,20 +154,30 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, "src long, dst long")
 
 
-def write_binary(adj: DataFrame, file: str) -> None:
-    """A binary file on the driver, streamed row by row; vertices are 0.. without gaps."""
-    rows = csr(adj).persist()
+def write_binary(adj: DataFrame, path: str) -> None:
+    """One binary file, streamed through the driver a megabyte at a time; vertices are 0.. without gaps."""
+    spark = adj.sparkSession
+    rows = stored(csr(adj), "csr")
+    n, m = rows.count(), rows.agg(F.coalesce(F.sum(F.size("n")), F.lit(0))).first()[0]
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = own.getFileSystem(spark._jsc.hadoopConfiguration()).create(own, True)
+
+    def send(parts: Iterator[bytes]) -> None:
+        held = bytearray()
+        for part in parts:
+            held += part
+            if len(held) >= 1 << 20:
+                out.write(held)
+                held = bytearray()
+        out.write(held)
+
     try:
-        n, m = rows.count(), rows.agg(F.coalesce(F.sum(F.size("n")), F.lit(0))).first()[0]
-        with open(file, "wb") as out:
-            out.write(struct.pack("<4Q", VERTEX_BYTES, OFFSET_BYTES, n, m))
-            for r in rows.select("offset").orderBy("offset").toLocalIterator():
-                out.write(struct.pack("<Q", r["offset"]))
-            out.write(struct.pack("<Q", m))
-            for r in rows.select("v", "n").orderBy("v").toLocalIterator():
-                out.write(np.array(r["n"], "<u4").tobytes())
+        send(iter([struct.pack("<4Q", VERTEX_BYTES, OFFSET_BYTES, n, m)]))
+        send(struct.pack("<Q", r["offset"]) for r in rows.select("v", "offset").orderBy("v").toLocalIterator())
+        send(iter([struct.pack("<Q", m)]))
+        send(np.array(r["n"], "<u4").tobytes() for r in rows.select("v", "n").orderBy("v").toLocalIterator())
     finally:
-        rows.unpersist()
+        out.close()
 
 
 def edge_lines(adj: DataFrame) -> DataFrame:

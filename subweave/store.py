@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names; a temporary one is set where it names none, as in tests."""
+    """The folder that the session names. Only a local session, as in tests, gets a temporary one where none is named."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that the executors share")
         found = tempfile.mkdtemp(prefix="subweave-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

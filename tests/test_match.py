@@ -88,6 +88,7 @@ def test_parts_add_up(small, edges, name):
     assert row["total"] == len(want)
     assert row["intra"] == sum(len({v % 3 for v in m}) == 1 for m in want)
     assert n_of(match.inter_by_sequences(small, part, p)) == n_of(match.inter_by_sequences(small, part, p, share=False)) == row["inter"]
+    assert n_of(match.inter_lazily(small, part, p, 8)) == row["inter"]
     assert sum(r["n"] for r in match.seeded(small, part, p).collect()) == row["inter"]
 
 

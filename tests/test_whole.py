@@ -18,9 +18,9 @@ def lines(spark, path):
 
 def test_graph_of_all_lines(spark, tmp_path):
     edges = lines(spark, tmp_path)
-    got = queries.QUERIES["edge_text_whole"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["edge_text"](spark, str(tmp_path)).collect()
     assert {tuple(sorted(map(int, r["value"].split("\t")))) for r in got} == edges
-    for name in ("q0_triangle_whole", "q3_4_clique_lazy_whole", "q2_chordal_square_direct_whole"):
+    for name in ("q0_triangle", "q3_4_clique_lazy", "q2_chordal_square_direct"):
         assert queries.QUERIES[name](spark, str(tmp_path)).first()["n"] == len(brute(edges, by_name(name.split("_")[0])))
     for name in ("fennel_partition", "label_partition"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == len({v for e in edges for v in e})
@@ -32,6 +32,6 @@ def test_chosen_vertices_and_pairs(spark, tmp_path):
     near = {v: {b for a, b in both if a == v} for v, _ in both}
     hubs = {v for v in near if len(near[v]) > len(both) / len(near)}
     rows = lambda name: sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
-    assert rows("vertex_rows_whole") == sorted(e for e in both if e[0] in hubs)
-    assert rows("induced_subgraph_whole") == sorted(e for e in both if set(e) <= hubs)
-    assert rows("batch_intersections_whole") == sorted((a, b, len(near[a] & near[b])) for a, b in both)
+    assert rows("vertex_rows") == sorted(e for e in both if e[0] in hubs)
+    assert rows("induced_subgraph") == sorted(e for e in both if set(e) <= hubs)
+    assert rows("batch_intersections") == sorted((a, b, len(near[a] & near[b])) for a, b in both)
