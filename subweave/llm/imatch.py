@@ -2,9 +2,13 @@
 
 Document frequencies are counted over all documents. The lexicon is the terms in a band of inverse document frequency: a term
 of it is in at least one of every `rarest` documents, so there are at most `rarest` times as many as a document has distinct terms
-on average, however many documents there are. A fingerprint has one hash for each random subset of the lexicon: of the
-document's sorted distinct terms in that subset, or of all its lexicon terms where it has none in the subset, or of all its
-terms where it has none in the lexicon. The likeness of two fingerprints is the part of their hashes that agree.
+on average, however many documents there are. It is sent in buckets by hash, so a document's terms are looked up one by one.
+
+A fingerprint has one hash for each of SUBSETS random families of nested subsets of the lexicon. A family gives every term
+a level, high ones being rare; its subsets are the terms from a level on. The document's hash is that of its sorted distinct terms in
+the smallest subset of the family that has any of them, so long and short documents both have a few terms in it. A document
+without lexicon terms has all its terms treated in the same way. The likeness of two fingerprints is the part of their hashes
+that agree.
 
 Terms are words without white space, in lower case, known by their 64-bit hash.
 
@@ -16,6 +20,7 @@ the first. Columns other than the id and the text are not looked at. An empty ta
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +29,12 @@ from subweave.store import stored
 
 #: The band: in at least one of so many documents, in at most one of so many.
 RAREST, COMMONEST = 200, 10
-#: Subsets of the lexicon, each with one of so many of its terms.
-SUBSETS, ONE_OF = 16, 32
+#: Families of subsets, and bits of a level in each; together those of a long.
+SUBSETS, LEVEL_BITS = 16, 4
+#: Terms of one bucket of the lexicon, about.
+BUCKET = 4
 #: Rows of one stretch of the order by id.
 STRETCH_ROWS, MOST_STRETCHES = 2048, 10_000
-#: Moduli that pick the subsets.
-_MODULI = tuple(n for n in range(100_003, 101_000, 2) if all(n % d for d in range(3, math.isqrt(n) + 1, 2)))[:SUBSETS]
-
 
 def terms(text: Column) -> Column:
     """Hashes of the text's words, with repeats."""
@@ -52,20 +56,38 @@ def _literal(values: list[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
 
 
-def hashes(text: Column, known: Column) -> Column:
-    """A hash for each subset."""
+def buckets(known: list[int]) -> tuple[Column, int]:
+    """The lexicon as an array of arrays, and how many: a term is in the one of its remainder."""
+    n = max(1, len(known) // BUCKET)
+    out: list[list[int]] = [[] for _ in range(n)]
+    for t in known:
+        out[t % n].append(t)
+    return F.from_json(F.lit("[" + ",".join(f"[{','.join(map(str, x))}]" for x in out) + "]"), "array<array<bigint>>"), n
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _level(mark: Column, family: int) -> Column:
+    return F.shiftright(mark, LEVEL_BITS * family).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
 
-    def each(words: Column) -> Column:
-        own = F.array_intersect(known, words)
-        return F.transform(F.array(F.struct(words.alias("words"), own.alias("own"))), lambda x: F.array(*(_slot(x["words"], x["own"], m) for m in _MODULI)))[0]
 
-    return each(terms(text))
+def _slot(marks: Column, family: int) -> Column:
+    top = F.array_max(F.transform(marks, lambda x: _level(x, family)))
+    return _let(top, lambda t: F.xxhash64(F.filter(marks, lambda x: _level(x, family) == t), F.lit(family)))
 
 
-def _slot(words: Column, own: Column, modulus: int) -> Column:
-    some = F.filter(own, lambda t: F.pmod(F.pmod(t, F.lit(modulus)), F.lit(ONE_OF)) == 0)
-    rest = F.when(F.size(own) > 0, own).otherwise(F.array_sort(F.array_distinct(words)))
-    return F.when(F.size(some) > 0, F.xxhash64(some)).otherwise(F.xxhash64(rest, F.lit(modulus)))
+def hashes(text: Column, known: tuple[Column, int]) -> Column:
+    """A hash for each family of subsets; known is the lexicon in buckets."""
+    own, n = known
+    inside = lambda t: F.array_contains(F.get(own, F.pmod(t, F.lit(n)).cast("int")), t)
+    # a bit of a mark is set for one term in four, so high levels are rare; a mark still tells terms apart
+    mark = lambda t: t.bitwiseAND(F.xxhash64(t))
+    used = lambda words: _let(F.filter(words, inside), lambda some: F.when(F.size(some) > 0, some).otherwise(words))
+    slots = lambda marks: F.array(*(_slot(marks, m) for m in range(SUBSETS)))
+    return _let(F.array_distinct(terms(text)), lambda words: _let(F.sort_array(F.transform(used(words), mark)), slots))
 
 
 def written(fingerprint: Column) -> Column:
@@ -80,7 +102,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
     """doc_id, text and its fingerprint (hashes, an array of long)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("hashes", hashes(F.col("text"), _literal(lexicon(rows, rarest=rarest, commonest=commonest))))
+    return rows.withColumn("hashes", hashes(F.col("text"), buckets(lexicon(rows, rarest=rarest, commonest=commonest))))
 
 
 def _stretch(bounds: list[int], doc_id: Column) -> Column:
@@ -95,7 +117,7 @@ def _stretch(bounds: list[int], doc_id: Column) -> Column:
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = RAREST, commonest: int = COMMONEST) -> DataFrame:
     """For each document its text and hashes, those of its text with the last half from the next document, and the next document's hashes."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = _literal(lexicon(base, rarest=rarest, commonest=commonest))
+    known = buckets(lexicon(base, rarest=rarest, commonest=commonest))
     n = min(MOST_STRETCHES, math.ceil(base.count() / STRETCH_ROWS))
     cuts = base.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else None
     rows = base.withColumn("stretch", _stretch(sorted(set(cuts or ())), F.col("doc_id")))

@@ -20,11 +20,19 @@ def terms(text):
     return [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in flat.split(" ") if w]
 
 
-def chained(values, modulus=None):
-    h = 42
-    for v in values:
-        h = xxhash.xxh64_intdigest((v & (2**64 - 1)).to_bytes(8, "little"), h)
-    return h if modulus is None else xxhash.xxh64_intdigest(modulus.to_bytes(4, "little"), h)
+def hashed(value, seed=42, size=8):
+    return xxhash.xxh64_intdigest((value & ((1 << 8 * size) - 1)).to_bytes(size, "little"), seed)
+
+
+def slot(words, family):
+    """The hash of the terms of the highest level that is there."""
+    marks = sorted(w & signed(hashed(w)) for w in words)
+    level = lambda x: (x >> 4 * family) & 15
+    top, h = max(map(level, marks), default=0), 42
+    for x in marks:
+        if level(x) == top:
+            h = hashed(x, h)
+    return hashed(family, h, 4)
 
 
 def brute(rows, rarest, commonest):
@@ -33,9 +41,8 @@ def brute(rows, rarest, commonest):
     lexicon = {x for x, c in df.items() if c * rarest >= n and c * commonest <= n}
 
     def print_of(text):
-        w = terms(text)
-        own = sorted(set(w) & lexicon)
-        return [chained(s) if (s := [x for x in own if x % m % imatch.ONE_OF == 0]) else chained(own or sorted(set(w)), m) for m in imatch._MODULI]
+        w = set(terms(text))
+        return [slot(w & lexicon or w, m) for m in range(imatch.SUBSETS)]
 
     out = []
     for i, (k, t) in enumerate(rows):
@@ -64,6 +71,13 @@ def test_equal_texts_have_equal_fingerprints(spark):
         assert prints.setdefault(r["text"], r["hashes"]) == r["hashes"]
 
 
+def test_likeness_tells_edited_from_unrelated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("size(split(trim(text), '\\\\s+')) >= 20")
+    near = imatch.with_edits(docs).select(imatch.likeness(F.col("hashes"), F.col("edited_hashes")).alias("e"), imatch.likeness(F.col("hashes"), F.col("next_hashes")).alias("n"))
+    r = near.agg(F.avg((F.col("e") > F.col("n")).cast("double")), F.avg((F.col("e") == 0).cast("double"))).first()
+    assert r[0] >= 0.9 and r[1] <= 0.05, r
+
+
 def test_few_rows(spark):
     assert imatch.with_edits(frame(spark, [])).collect() == []
     (r,) = imatch.with_edits(frame(spark, [(1, "abcdef")])).collect()
