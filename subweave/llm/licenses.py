@@ -1,8 +1,8 @@
 """License scans by patience alignment with license templates.
 
 Words are runs of letters and digits (and of bytes outside ASCII), in lower case. For each template the words of a text that the
-template has are clustered: two of them at most `gap` words apart lie in one cluster, and a cluster with too few of them to cover
-the template is left. Each remaining cluster is aligned with the template: words that occur once in both are anchors, the longest
+template has are clustered: two of them at most `gap` words apart, or half as many as the template has, lie in one cluster, so a
+page's foot or a remark inside a notice does not part it. A cluster with too few of them to cover the template is left. Each remaining cluster is aligned with the template: words that occur once in both are anchors, the longest
 increasing subsequence of them is kept, and the gaps between anchors are aligned in the same way; equal words next to an
 anchor or to a gap's ends are matched at once. Coverage is the part of the template's words that are matched. A cluster in
 which every word of the template comes more than once, as where a notice is repeated, is cut where its rarest word comes again.
@@ -45,7 +45,9 @@ TEMPLATES = (
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
-        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+        "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     Template(
         "Apache-2.0",
@@ -61,6 +63,81 @@ TEMPLATES = (
         "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
         "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
+    Template(
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    Template(
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    Template(
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    Template(
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        'documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS '
+        'IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+        "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    Template(
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE "
+        'IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    Template(
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL '
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE.",
+    ),
+    Template(
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    Template(
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.",
+    ),
+    Template(
+        "BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)",
+    ),
+    Template("CC0-1.0-line", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
     Template("MIT-line", "Released under the MIT License."),
     Template("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
     Template("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
@@ -69,7 +146,7 @@ TEMPLATES = (
     Template("CC-BY-SA-4.0-line", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     Template("BSD-3-Clause-line", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
 )
-#: Coverage from which a template is found, and words between two of its words at most.
+#: Coverage from which a template is found, and words between two of its words at most, where half its length is less.
 COVERAGE, GAP = 0.8, 6
 
 
@@ -127,6 +204,7 @@ class Scanner:
         self.words = [words(texts(pa.array([t.text])))[0].tolist() for t in templates]
         self.known = [np.unique(np.array(w, np.uint64)) for w in self.words]
         self.need = [int(np.ceil(coverage * len(w) - 1e-9)) for w in self.words]
+        self.reach = [max(gap, len(w) // 2) for w in self.words]
 
     def _best(self, text: list[int], k: int) -> tuple[float, int, int]:
         """Coverage, first and last matched word of a cluster, in parts where its words repeat."""
@@ -135,7 +213,7 @@ class Scanner:
         there = [w for w in set(template) if n[w]]
         rarest = min(there, key=lambda w: (n[w], template.index(w)))
         if n[rarest] > 1:
-            hits, before = [i for i, w in enumerate(text) if w == rarest], template.index(rarest) + self.gap
+            hits, before = [i for i, w in enumerate(text) if w == rarest], template.index(rarest) + self.reach[k]
             cuts = [0, *(max(lo + 1, hi - before) for lo, hi in zip(hits, hits[1:], strict=False)), len(text)]
         else:
             cuts = [0, len(text)]
@@ -156,7 +234,7 @@ class Scanner:
             if not len(hits):
                 continue
             row = np.searchsorted(first, hits, "right") - 1
-            new = np.flatnonzero((np.diff(hits, prepend=-(10**9)) > self.gap + 1) | (np.diff(row, prepend=-1) > 0))
+            new = np.flatnonzero((np.diff(hits, prepend=-(10**9)) > self.reach[k] + 1) | (np.diff(row, prepend=-1) > 0))
             for lo, n in zip(new.tolist(), np.diff(np.append(new, len(hits))).tolist(), strict=True):
                 if n < self.need[k]:
                     continue

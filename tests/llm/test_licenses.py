@@ -37,6 +37,55 @@ def test_edited_and_repeated_templates(template):
     assert template.name not in found(" ".join(w[: len(w) // 2]))
 
 
+def test_a_notice_with_a_remark_inside_is_found():
+    rng = random.Random(5)
+    for template in licenses.TEMPLATES:
+        w = template.text.split()
+        if len(w) >= 40:
+            at = len(w) // 2
+            own = found(" ".join([noise(rng, 50), *w[:at], *(f"foot{i}" for i in range(15)), *w[at:], noise(rng, 50)]))
+            assert own[template.name][1] == 1.0
+
+
+@pytest.mark.parametrize(("kind", "share", "least"), [("drop", 0.05, 1.0), ("drop", 0.15, 0.95), ("insert", 0.05, 1.0), ("insert", 0.15, 1.0), ("insert", 0.3, 0.98), ("replace", 0.05, 1.0), ("replace", 0.12, 0.95)])
+def test_recall_of_edited_notices(kind, share, least):
+    """Of notices with some of their words changed, those that keep the coverage are found nearly always."""
+    rng, hits, all_ = random.Random(9), 0, 0
+    for template in licenses.TEMPLATES:
+        w = template.text.split()
+        for _ in range(10 if len(w) >= 40 else 0):
+            own, kept = [], 0
+            for x in w:
+                changed = rng.random() < share
+                if kind == "insert" and changed:
+                    own.append("foreign" + str(rng.randrange(1000)))
+                if not changed or kind == "insert":
+                    own.append(x)
+                    kept += 1
+                elif kind == "replace":
+                    own.append("foreign" + str(rng.randrange(1000)))
+            if kept < 0.82 * len(w):
+                continue
+            all_ += 1
+            hits += template.name in found(f"{noise(rng, 100)} {' '.join(own)} {noise(rng, 100)}")
+    assert hits >= least * all_ and all_
+
+
+def test_scan_against_alignment_of_whole_texts():
+    """On texts that are no longer than a cluster, the clusters find what aligning the whole text finds."""
+    rng = random.Random(8)
+    scanner = licenses.Scanner(tuple(licenses.Template(f"t{k}", " ".join(f"w{rng.randrange(40)}" for _ in range(20))) for k in range(12)))
+    for _ in range(200):
+        template = rng.randrange(12)
+        own = [x for x in scanner.templates[template].text.split() if rng.random() > 0.15]
+        for _ in range(rng.randrange(6)):
+            own.insert(rng.randrange(len(own)), f"w{rng.randrange(60)}")
+        row = texts(pa.array([" ".join(own)]))
+        hashes = licenses.words(row)[0].tolist()
+        want = {t.name for t, w in zip(scanner.templates, scanner.words, strict=True) if len(licenses.align(hashes, w)) >= 0.8 * len(w)}
+        assert {x[0] for x in scanner.scan(row).get(0, [])} >= want
+
+
 def test_noise_has_no_license():
     rng = random.Random(2)
     assert not found(noise(rng, 5000))
