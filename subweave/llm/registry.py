@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subweave.llm import bpe, chat, imatch, licenses, linededup, ngramjoin, packing, quality, tokenfiles, urls
-from subweave.store import new_path
+from subweave.store import new_path, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,23 @@ def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.clustered(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger, without texts: policies and ablations read no text again."""
+    return stored(quality.ledger(_table(spark, sf_dir, "documents")).drop("text"), "ledger")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.ledger(_table(spark, sf_dir, "documents"))
+    scored = _ledger(spark, sf_dir)
     base = F.col("failed").bitwiseAND(F.lit(quality.BASE.mask(quality.RULES))) != 0
     return quality.applied(scored, quality.FULL).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op2_quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of both policies what it rejects, alone and at all, and what is kept without it."""
+    scored = _ledger(spark, sf_dir)
+    return quality.ablations(scored, quality.BASE).unionByName(quality.ablations(scored, quality.FULL))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +78,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.fitted(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_quality_rules": op2_quality_rules,
+    "op2_quality_ablations": op2_quality_ablations,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
@@ -110,7 +123,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (r) JOIN (SELECT reach.a AS r, min(e.doc_id) AS c FROM reach JOIN d e ON e.r = reach.b GROUP BY reach.a) m USING (r)
 """
 
-_OP2 = rf"""
+_LEDGER = rf"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 g AS MATERIALIZED (
@@ -127,10 +140,24 @@ m AS (
   FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
 f AS (
   SELECT *, {" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES)} AS bits FROM m)
+"""
+
+_OP2 = _LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   bits = 0 AS kept, CAST(bits AS BIGINT) AS failed FROM f
 """
 
+
+def _ablation(policy: quality.Policy, rule: quality.Rule) -> str:
+    mask, bit = policy.mask(quality.RULES), 1 << rule.bit
+    return (
+        f"SELECT '{policy.version}' AS policy, '{rule.name}' AS rule, count(*) FILTER (WHERE bits & {bit} <> 0) AS failing,"
+        f" count(*) FILTER (WHERE bits & {mask} = {bit}) AS only, count(*) FILTER (WHERE bits & {mask & ~bit} = 0) AS kept_without FROM f"
+    )
+
+
+_ABLATIONS = _LEDGER + " UNION ALL ".join(_ablation(p, r) for p in (quality.BASE, quality.FULL) for r in quality.RULES if r.name in p.rules)
+
 _OP5 = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
 l AS MATERIALIZED (
@@ -162,7 +189,7 @@ def _op8() -> str:
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     name = " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in hosts)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in hosts)
-    other = " ".join(f"WHEN regexp_matches(whole, {_quoted(r.pattern.replace(chr(92) + 'Z', chr(92) + 'z'))}) THEN '{r.verdict}'" for r in urls.PATTERNS)
+    other = " ".join(f"WHEN regexp_matches(whole, {_quoted(r.pattern.replace(chr(92) + 'Z', chr(92) + 'z'))}, 's') THEN '{r.verdict}'" for r in urls.PATTERNS)
     return rf"""
 WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
@@ -174,6 +201,7 @@ SELECT page_id, host, path, CASE {name} END AS rule, CASE {verdict} {other} ELSE
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": _OP1,
     "op2_quality_rules": _OP2,
+    "op2_quality_ablations": _ABLATIONS,
     "op5_line_dedup": _OP5,
     "op8_url_filters": _op8(),
     "op9_chat_formatting": _OP9,
