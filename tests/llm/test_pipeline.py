@@ -58,6 +58,22 @@ def test_stages_keep_the_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "packing"]
 
 
+def test_names_of_other_columns_may_clash(spark):
+    """Whatever the other columns are called, their values come out as they went in."""
+    names = ["n_words", "failed", "kept", "policy", "n_lines", "n_dropped", "bad", "_bad", "set_key", "chosen", "again", "key", "hash", "doc", "with.dot"]
+    rows = corpus(23, n=60) + [(None, None), (900, "")]
+    extra = ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(k, t, *(None if k is None else f"{n} of {k}" for n in names)) for k, t in rows], f"doc_id long, text string, {extra}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and got.schema == docs.schema
+        for r in got.collect():
+            assert list(r)[2:] == [None if r["doc_id"] is None else f"{n} of {r['doc_id']}" for n in names]
+    only = docs.select("text", "doc_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, only, "").columns == ["text", "doc_id"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

@@ -201,3 +201,28 @@ def test_token_files(spark, tmp_path):
     assert tokenfiles.read_tokens(spark, path).where("doc_id = 5 and start >= 0").count() == sum(k == 5 for k, _ in rows)
     tokenfiles.write_tokens(frame(spark, []), str(tmp_path / "none"))
     assert tokenfiles.read_tokens(spark, str(tmp_path / "none")).collect() == []
+
+
+def scanned_rows(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_token_files_are_pruned_by_their_metadata(spark, tmp_path):
+    """Row indexes leave one stretch of ten thousand rows for an id that is there, Bloom filters none for one that is not."""
+    path = str(tmp_path / "tokens")
+    docs = spark.range(40_000).selectExpr("2 * id as doc_id", "concat('t ', id % 7) as text").coalesce(1)
+    tokenfiles.write_tokens(docs, path)
+    files = spark.read.orc(path)
+    assert files.count() == 40_000
+    assert 0 < scanned_rows(files.where("doc_id = 30000").select("tokens")) <= 10_000
+    missing = [scanned_rows(files.where(f"doc_id = {i}").select("tokens")) for i in (30_001, 40_001, 51_111, 60_003)]
+    assert missing.count(0) >= 3
+
+
+def test_token_files_of_many_ranges(spark, tmp_path, monkeypatch):
+    rows = corpus(10, n=40)
+    tokenfiles.write_tokens(frame(spark, rows), str(tmp_path / "tokens"))
+    want = sorted(map(tuple, tokenfiles.summed(tokenfiles.read_tokens(spark, str(tmp_path / "tokens"))).collect()))
+    monkeypatch.setattr(tokenfiles, "MOST_SENT", 0)
+    assert sorted(map(tuple, tokenfiles.summed(tokenfiles.read_tokens(spark, str(tmp_path / "tokens"))).collect())) == want
