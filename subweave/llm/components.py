@@ -8,6 +8,7 @@ have are sent to all tasks instead of being joined in one. Only counts reach the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,7 +79,9 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     cut = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     schema = StructType([*cut.schema, StructField("chunk", LongType())])
     while True:
-        cut = stored(cut.mapInArrow(_contracted(chunk), schema), "stars")
+        # as many tasks as there are chunks; few edges meet in one
+        cut = stored(cut, "edges")
+        cut = stored(cut.coalesce(math.ceil(max(1, cut.count()) / chunk)).mapInArrow(_contracted(chunk), schema), "stars")
         ends = cut.agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).first()
         if ends["a"] == ends["b"]:
             break
