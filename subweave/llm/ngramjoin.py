@@ -13,7 +13,8 @@ A document linked with another shares at least the threshold's part of its own s
 4. Each group is searched in memory, several small groups at a time. A larger one is dealt into blocks by the size of the sets, and
    two blocks meet in a task of their own where sets of their sizes can be linked at all. The search is DivideSkip: a document's
    shortest inverted lists are merged, documents found often enough there are counted in its longest lists, by binary search
-   where they are few, and those that reach the overlap are linked. The merge sorts the short lists together as arrays
+   where they are few, and those that reach the overlap are linked. Lists that most sets of a task are in are probed for many
+   queries at once. The merge sorts the short lists together as arrays
    instead of taking their heads from a heap one by one; it gives the same counts. A document leaves the index after its own
    search, so every pair of different sets that are linked is found once. A task sums its links by set, weighted by copies;
    pairs() gives them as rows. Where only components are asked for, a document leaves the index once it is linked, which gives
@@ -59,6 +60,8 @@ SEND_DOCS, SEVERAL = 60_000, 0xFFFF
 LEAST_SLOTS, MOST_SLOTS, SKETCH_PART, HELD = 1 << 16, 1 << 27, 1 << 16, 1 << 21
 #: Weight of the binary search against the merge when a query's lists are divided.
 MU = 0.01
+#: A list is long for all queries if it has one of so many sets, and there are so many sets; counts of sets by queries at once.
+LONG, MANY, COUNTS = 16, 256, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -344,6 +347,41 @@ class Index:
         found = np.flatnonzero(count)
         return found, count[found]
 
+    def every(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each set with the later ones it is linked with.
+
+        Where sets have lists in common that most of them are in, as near copies have, each query's long lists are probed for many
+        sets at once: such lists are columns of ones and zeros, and counts in them a product of matrices. These have no more than LONG
+        entries for each entry of a list.
+        """
+        n, length = len(self.sizes), np.diff(self._lists)
+        long = np.flatnonzero(length * LONG > n) if n >= MANY else np.zeros(0, np.int64)
+        if not len(long):
+            for q in range(n):
+                self.drop(q)
+                yield q, self.search(q)
+            return
+        column = np.full(self._terms, -1, np.int64)
+        column[long] = np.arange(len(long))
+        there = np.zeros((n, len(long)), np.float32)
+        own = np.flatnonzero(column[self._term] >= 0)
+        there[self._owner[own], column[self._term[own]]] = 1
+        t = self.threshold
+        ends = np.searchsorted(self.sizes, self.sizes * t.den // t.num + 1)
+        step = max(1, COUNTS // n)
+        for lo in range(0, n, step):
+            hi = min(n, lo + step)
+            end = int(ends[hi - 1])
+            counts = there[lo:hi] @ there[lo:end].T
+            for q in range(lo, hi):
+                terms = self._term[self._from[q] : self._from[q + 1]]
+                terms = terms[column[terms] < 0]
+                total = counts[q - lo, q + 1 - lo : ends[q] - lo]
+                some, more = self._merged(terms, length[terms])
+                inside = (some > q) & (some < ends[q])
+                total[some[inside] - q - 1] += more[inside]
+                yield q, q + 1 + np.flatnonzero(total >= t.overlap(int(self.sizes[q]), self.sizes[q + 1 : ends[q]]))
+
 
 def linked(sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]]:
     """Links between sets that connect what is connected, one fewer than each component has members."""
@@ -368,9 +406,8 @@ def all_links(sets: list[np.ndarray], threshold: Threshold, own: np.ndarray) ->
     order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])))
     index = Index([sets[i] for i in order], threshold)
     cross = len(np.unique(own)) > 1
-    for q, i in enumerate(order.tolist()):
-        index.drop(q)
-        found = order[index.search(q)]
+    for q, found in index.every():
+        i, found = int(order[q]), order[found]
         if cross:
             found = found[own[found] != own[i]]
         if len(found):

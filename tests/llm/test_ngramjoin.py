@@ -106,6 +106,23 @@ def test_search_against_all_pairs():
         assert sorted(index.search(q).tolist()) == want
 
 
+@pytest.mark.parametrize(("many", "long"), [(1, 1 << 30), (1, 16), (1, 3), (1 << 30, 16)])
+def test_every_link_against_all_pairs(monkeypatch, many, long):
+    """With all lists long, with some, and with none."""
+    monkeypatch.setattr(ngramjoin, "MANY", many)
+    monkeypatch.setattr(ngramjoin, "LONG", long)
+    monkeypatch.setattr(ngramjoin, "COUNTS", 1000)
+    rng, threshold = random.Random(7), ngramjoin.Threshold()
+    base = list(range(60))
+    sets = [np.array(sorted({*rng.sample(base, rng.randint(45, 60)), *rng.sample(range(100, 400), rng.randint(0, 8))}), np.uint64) for _ in range(150)]
+    sets += [np.array(sorted(rng.sample(range(1000, 5000), rng.choice([1, 3, 30]))), np.uint64) for _ in range(40)]
+    sets.sort(key=len)
+    close = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if close(set(a.tolist()), set(sets[j].tolist()))}
+    got = [(q, int(x)) for q, found in ngramjoin.Index(sets, threshold).every() for x in found]
+    assert len(want) > 500 and len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 4])
 def test_components(spark, chunk):
     rng = random.Random(2)
