@@ -45,15 +45,19 @@ def stretch_of(bounds: list, value: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), go)
 
 
-def numbered(rows: DataFrame, by: str, name: str = "number", stretch_rows: int = STRETCH_ROWS, then: str | None = None) -> DataFrame:
-    """The rows with a number from 0 in the order of a bigint column; rows that are equal there are in the order of then."""
+def numbered(rows: DataFrame, by: str, name: str = "number", stretch_rows: int = STRETCH_ROWS, then: str | None = None, within: str | None = None) -> DataFrame:
+    """The rows with a number from 0 in the order of a bigint column; rows that are equal there are in the order of then.
+
+    within: a column of few values, for each of which numbers begin anew.
+    """
     n = min(MOST_STRETCHES, math.ceil(rows.count() / stretch_rows))
     cuts = rows.select(F.percentile_approx(by, [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
     placed = rows.withColumn("_stretch", stretch_of(sorted(set(cuts or [])), F.col(by)))
-    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy("_stretch").count().select("_stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("_stretch").orderBy(by, *([then] if then else [])))
-    return placed.join(F.broadcast(bases), "_stretch").withColumn(name, F.col("_base") + nth - 1).drop("_stretch", "_base")
+    own = [within] if within else []
+    before = Window.partitionBy(*own).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(*own, "_stretch").count().select(*own, "_stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy(*own, "_stretch").orderBy(by, *([then] if then else [])))
+    return placed.join(F.broadcast(bases), [*own, "_stretch"]).withColumn(name, F.col("_base") + nth - 1).drop("_stretch", "_base")
 
 
 def _renamed(adj: DataFrame, ids: DataFrame) -> DataFrame:

@@ -292,15 +292,6 @@ def by_partition(adj: DataFrame, part: DataFrame, pattern: Pattern, order: tuple
     return rows.agg(inside.alias("intra"), (F.count("*") - inside).alias("inter"), F.count("*").alias("total"))
 
 
-def seeded(adj: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
-    """For each edge that crosses partitions and is the smallest such edge of a match, the number of its matches: a, b, n.
-
-    Every match across partitions is counted at one edge.
-    """
-    rows = _with_parts(instances(adj, pattern), part, pattern)
-    return rows.select(_smallest_crossing(pattern).alias("e")).where("e is not null").groupBy("e.a", "e.b").agg(F.count("*").alias("n"))
-
-
 def _grown(rows: DataFrame, edges: Callable[[int, int], DataFrame], pattern: Pattern, order: tuple[int, ...], lo: int, hi: int, seen: Callable[[DataFrame, int], DataFrame] = lambda rows, k: rows) -> DataFrame:
     """Partial matches of the order's first lo vertices with those up to hi."""
     for k, u in list(enumerate(order))[lo:hi]:
@@ -313,8 +304,8 @@ def _grown(rows: DataFrame, edges: Callable[[int, int], DataFrame], pattern: Pat
     return rows
 
 
-def inter_by_sequences(adj: DataFrame, part: DataFrame, pattern: Pattern, share: bool = True) -> DataFrame:
-    """One row with n, matches across partitions, grown from crossing edges.
+def _from_crossing(adj: DataFrame, part: DataFrame, pattern: Pattern, share: bool = True) -> DataFrame:
+    """Matches across partitions as rows with their seed, grown from crossing edges.
 
     There is one connected order for each edge of the pattern; a match is kept where its edge is the smallest that crosses. Orders
     whose first vertices match the same partial pattern share those rows, under other names, unless share is false.
@@ -336,7 +327,20 @@ def inter_by_sequences(adj: DataFrame, part: DataFrame, pattern: Pattern, share:
             whole = _grown(rows, lambda a, u: adj, pattern, order, k, pattern.n)
             found = whole.select(*(_v(u) for u in range(pattern.n)), _edge(order[0], order[1]).alias("seed"))
             out = found if out is None else out.unionAll(found)
-    return _at_smallest(out, part, pattern).agg(F.count("*").alias("n"))
+    return _at_smallest(out, part, pattern)
+
+
+def inter_by_sequences(adj: DataFrame, part: DataFrame, pattern: Pattern, share: bool = True) -> DataFrame:
+    """One row with n, matches across partitions, grown from crossing edges; share says whether orders share prefixes."""
+    return _from_crossing(adj, part, pattern, share).agg(F.count("*").alias("n"))
+
+
+def seeded(adj: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:
+    """For each edge that crosses partitions and is the smallest such edge of a match, the number of its matches: a, b, n.
+
+    Every match across partitions is counted at one edge, from which it is grown.
+    """
+    return _from_crossing(adj, part, pattern).groupBy("seed.a", "seed.b").agg(F.count("*").alias("n"))
 
 
 def _at_smallest(rows: DataFrame, part: DataFrame, pattern: Pattern) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subweave.operators.clean import numbered
 from subweave.store import stored
 
 
@@ -30,12 +31,12 @@ def inside(adj: DataFrame, part: DataFrame) -> DataFrame:
 
 def local_ids(part: DataFrame) -> DataFrame:
     """v, pid and local: 0.. in each part in the order of ids."""
-    return part.withColumn("local", F.row_number().over(Window.partitionBy("pid").orderBy("v")).cast("long") - 1)
+    return numbered(part, "v", "local", within="pid").withColumn("local", F.col("local").cast("long"))
 
 
 def relabelled_inside(adj: DataFrame, part: DataFrame) -> DataFrame:
     """Edges within a part under local ids: pid, src, dst."""
-    ids = local_ids(part)
+    ids = stored(local_ids(part), "local")
     a = ids.select(F.col("v").alias("src"), F.col("local").alias("ls"))
     b = ids.select(F.col("v").alias("dst"), F.col("local").alias("ld"))
     return inside(adj, part).join(a, "src").join(b, "dst").select("pid", F.col("ls").alias("src"), F.col("ld").alias("dst"))
