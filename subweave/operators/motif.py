@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 from subweave.operators.clean import neighbours
 from subweave.operators.match import instances
 from subweave.plans.pattern import Pattern
+from subweave.store import stored
 
 #: Walks from each vertex, and the chance that a walk ends after a step.
 WALKS, STOP = 10_240, 0.1
+#: Edges of a graph that is sent to all tasks at most (16 bytes each), and walks that a task holds at once.
+MOST_SENT, HELD = 1 << 23, 1 << 19
 
 
 def edge_weights(adj: DataFrame, pattern: Pattern) -> DataFrame:
@@ -58,44 +63,122 @@ def cut_rows(weights: DataFrame) -> DataFrame:
     return weights.select("src", "dst", F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("w").cast("string")).alias("line"))
 
 
-def _walked(pattern: Pattern, walks: int, stop: float, seed: int) -> Callable:
+class Walks:
+    """Random walks over a graph in memory: vertices 0.., the offsets of their targets, and the targets in ascending order."""
+
+    def __init__(self, offsets: np.ndarray, targets: np.ndarray, pattern: Pattern, stop: float):
+        self.offsets, self.targets, self.pattern, self.stop = offsets, targets, pattern, stop
+        self.n = len(offsets) - 1
+        source = np.repeat(np.arange(self.n), np.diff(offsets))
+        self.codes = source * self.n + targets
+        self.back = np.searchsorted(self.codes, targets * self.n + source)
+        self.shapes = list(itertools.permutations(range(pattern.n)))
+
+    def edge(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each edge, and whether it is there."""
+        code = a * self.n + b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return at, self.codes[at] == code
+
+    def tested(self, window: np.ndarray, total: np.ndarray) -> None:
+        """Add the edges of all matches among the vertices of each window to total, by place."""
+        p = self.pattern
+        apart = [(a, b) for a, b in itertools.combinations(range(p.n), 2) if not p.adjacent(a, b)]
+        for shape in self.shapes:
+            m = window[:, shape]
+            good = np.ones(len(m), bool)
+            for a, b in p.order:
+                good &= m[:, a] < m[:, b]
+            for a, b in apart:
+                good &= m[:, a] != m[:, b]
+            m, places = m[good], []
+            for a, b in p.edges:
+                at, there = self.edge(m[:, a], m[:, b])
+                m, places = m[there], [*(x[there] for x in places), at[there]]
+            for at in places:
+                np.add.at(total, at, 1)
+                np.add.at(total, self.back[at], 1)
+
+    def run(self, starts: np.ndarray, walks: int, rng: np.random.Generator) -> np.ndarray:
+        """How often matches in the windows of the walks used each edge. A window has the vertices of the last steps."""
+        total, size = np.zeros(len(self.targets), np.int64), self.pattern.n
+        at = np.repeat(starts, walks)
+        window, step = np.full((len(at), size), -1, np.int64), 0
+        while len(at):
+            window[:, step % size] = at
+            step += 1
+            if step >= size:
+                self.tested(window, total)
+            alive = rng.random(len(at)) >= self.stop
+            at, window = at[alive], window[alive]
+            first = self.offsets[at]
+            at = self.targets[first + (rng.random(len(at)) * (self.offsets[at + 1] - first)).astype(np.int64)]
+        return total
+
+
+def _walked(sent, pattern: Pattern, walks: int, stop: float, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import itertools
-
-        shapes = list(itertools.permutations(range(pattern.n)))
+        ids, offsets, targets = sent.value
+        own, step = Walks(offsets, targets, pattern, stop), max(1, HELD // walks)
         for batch in batches:
-            found: dict[tuple[int, int], int] = {}
-            for v, near in zip(batch.column("v").to_pylist(), batch.column("around").to_pylist(), strict=True):
-                own = {x["v"]: x["n"] for x in near}
-                sets = {k: set(n) for k, n in own.items()}
-                rng = np.random.default_rng((seed, v))
-                for _ in range(walks):
-                    window, at = [v], v
-                    while at in own and own[at] and rng.random() >= stop:
-                        at = own[at][int(rng.integers(len(own[at])))]
-                        window = [x for x in window if x != at][-(pattern.n - 1) :] + [at]
-                        if len(window) < pattern.n:
-                            continue
-                        for p in shapes:
-                            m = [window[i] for i in p]
-                            if all(m[a] < m[b] for a, b in pattern.order) and all(m[b] in sets.get(m[a], ()) or m[a] in sets.get(m[b], ()) for a, b in pattern.edges):
-                                for a, b in pattern.edges:
-                                    for e in ((m[a], m[b]), (m[b], m[a])):
-                                        found[e] = found.get(e, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["src", "dst", "w"])
+            v = batch.column(0).to_numpy()
+            for lo in range(0, len(v), step):
+                total = own.run(v[lo : lo + step], walks, np.random.default_rng((seed, int(v[lo]))))
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own.codes[used] // own.n]), pa.array(ids[targets[used]]), pa.array(total[used])], names=["src", "dst", "w"])
 
     return run
 
 
-def sampled_weights(adj: DataFrame, pattern: Pattern, walks: int = WALKS, stop: float = STOP, seed: int = 0) -> DataFrame:
-    """src, dst, w: how often random walks from every vertex met a match that uses the edge, among the vertices they saw last.
+def _sent_walks(adj: DataFrame, pattern: Pattern, walks: int, stop: float, seed: int) -> DataFrame:
+    """Walks of a graph that is sent to all tasks."""
+    spark = adj.sparkSession
+    edges = adj.select("src", "dst").toArrow()
+    ids, flat = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    src, dst = flat[: len(edges)], flat[len(edges) :]
+    order = np.lexsort((dst, src))
+    sent = spark.sparkContext.broadcast((ids, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order]))
+    tasks = max(spark.sparkContext.defaultParallelism, len(ids) * walks // (1 << 23))
+    return spark.range(0, len(ids), 1, tasks).mapInArrow(_walked(sent, pattern, walks, stop, seed), "src long, dst long, w long")
+
+
+def _joined_walks(adj: DataFrame, pattern: Pattern, walks: int, stop: float, seed: int) -> DataFrame:
+    """Walks that take each step by a join with the neighbour lists."""
+    lists, n = stored(neighbours(adj), "lists"), pattern.n
+    state = lists.select("v", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("nth"))
+    state = state.select(F.xxhash64(F.lit(seed), "v", "nth").alias("walk"), F.array("v").alias("window"))
+    luck = lambda k, kind, below: F.pmod(F.xxhash64("walk", F.lit(k), F.lit(kind)), below)
+    found, k = [], 0
+    while state.limit(1).count():
+        if k >= n - 1:
+            found.append(stored(_used(adj, pattern, state), "used"))
+        k += 1
+        alive = state.where(luck(k, 1, F.lit(1 << 20)) >= int(stop * (1 << 20)))
+        moved = alive.join(lists, F.element_at("window", -1) == F.col("v"))
+        target = F.get("n", luck(k, 2, F.size("n")).cast("int"))
+        kept = F.slice("window", F.greatest(F.lit(1), F.size("window") - n + 2), n - 1)
+        state = stored(moved.select("walk", F.concat(kept, F.array(target)).alias("window")), "walks")
+    return reduce(DataFrame.unionAll, found, adj.where("false").select("src", "dst", F.lit(0).cast("long").alias("w")))
+
+
+def _used(adj: DataFrame, pattern: Pattern, state: DataFrame) -> DataFrame:
+    """The edges of all matches among the vertices of each window."""
+    shapes = [F.array(*(F.get("window", F.lit(i)) for i in p)) for p in itertools.permutations(range(pattern.n))]
+    rows = state.select(F.explode(F.array(*shapes)).alias("m")).select(*(F.get("m", F.lit(u)).alias(f"v{u}") for u in range(pattern.n)))
+    for a, b in itertools.combinations(range(pattern.n), 2):
+        if r := pattern.relation(a, b):
+            rows = rows.where(f"v{a} {r} v{b}")
+    for a, b in pattern.edges:
+        rows = rows.join(adj.select(F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}")), [f"v{a}", f"v{b}"], "left_semi")
+    ends = [F.struct(F.col(f"v{a}").alias("src"), F.col(f"v{b}").alias("dst")) for x, y in pattern.edges for a, b in ((x, y), (y, x))]
+    return rows.select(F.explode(F.array(*ends)).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("w"))
+
+
+def sampled_weights(adj: DataFrame, pattern: Pattern, walks: int = WALKS, stop: float = STOP, seed: int = 0, most_sent: int = MOST_SENT) -> DataFrame:
+    """src, dst, w: how often random walks from every vertex met a match that uses the edge, among the vertices of their last steps.
 
-    A walk stays within two steps of its vertex, whose lists come along with it.
+    A graph of up to most_sent edges is sent to the tasks, which walk in memory; over a larger one, steps are joins.
     """
-    lists = neighbours(adj)
-    ring = adj.join(lists.select(F.col("v").alias("dst"), "n"), "dst").select(F.col("src").alias("v"), F.struct(F.col("dst").alias("v"), "n").alias("x"))
-    own = lists.select("v", F.struct("v", "n").alias("x"))
-    around = ring.unionAll(own).groupBy("v").agg(F.collect_list("x").alias("around"))
-    got = around.mapInArrow(_walked(pattern, walks, stop, seed), "src long, dst long, w long")
-    used = got.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    walked = _sent_walks if adj.count() <= most_sent else _joined_walks
+    used = walked(adj, pattern, walks, stop, seed).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     return adj.join(used, ["src", "dst"], "left").select("src", "dst", F.coalesce("w", F.lit(0)).alias("w"))

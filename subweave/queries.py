@@ -161,7 +161,7 @@ def _raw_queries() -> None:
 
 def _sampling_queries() -> None:
     q0 = by_name("q0")
-    _add("edge_weight_sampled", lambda s, d: motif.sampled_weights(graph(s, d), q0, walks=64), None)
+    _add("edge_weight_sampled", lambda s, d: motif.sampled_weights(graph(s, d), q0), None)
     kept = lambda v: clean.share_sql(v) + " < 0.4"
     _add("vertex_sample", lambda s, d: clean.sampled_vertices(graph(s, d), 0.4), f"{_ADJ}\nSELECT * FROM adj WHERE {kept('src')} AND {kept('dst')}")
     _add("fennel_partition", lambda s, d: fennel.partitioned(clean.neighbours(graph(s, d)), 4), None)

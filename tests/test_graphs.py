@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from graphs_for_tests import adj, brute, complete
 
@@ -85,11 +86,28 @@ def test_weights(spark):
     assert {(r["src"], r["dst"]): r["w"] for r in got.collect()} == want
     assert motif.total_matches(got, p).first()["n"] == len(found)
     assert {r["w"] for r in motif.partitioner_weights(g, LINE).collect()} == {1}
-    sampled = motif.sampled_weights(g, by_name("q0"), walks=200)
-    exact = {(r["src"], r["dst"]): r["w"] for r in motif.edge_weights(g, by_name("q0")).collect()}
-    for r in sampled.collect():
-        assert (r["w"] == 0) or exact[r["src"], r["dst"]] > 0
-    assert any(r["w"] for r in sampled.collect())
+
+
+@pytest.mark.parametrize(("walks", "most_sent", "stop", "names"), [(3000, 1 << 23, 0.1, ("q0", "q2")), (300, 0, 0.6, ("q0",))])
+def test_sampled_weights(spark, walks, most_sent, stop, names):
+    """Edges of matches are met and no others; walks leave a vertex's surroundings, so far triangles count for near starts."""
+    ring = [(i, i + 1) for i in range(10, 16)]
+    edges = [(a, b) for a, b in complete(6) if (a, b) != (0, 5)] + [(5, 10), *ring] + [(16, 20), (16, 21), (20, 21)]
+    for name in names:
+        exact = {(r["src"], r["dst"]): r["w"] for r in motif.edge_weights(adj(spark, edges), by_name(name)).collect()}
+        got = {(r["src"], r["dst"]): r["w"] for r in motif.sampled_weights(adj(spark, edges), by_name(name), walks=walks, stop=stop, most_sent=most_sent).collect()}
+        assert set(got) == set(exact)
+        assert all((got[e] > 0) == (exact[e] > 0) for e in exact)
+        assert all(got[a, b] == got[b, a] for a, b in got)
+
+
+def test_walks_by_hand():
+    """On one triangle every three steps without going back meet it: the expected number follows from the chances."""
+    offsets, targets = np.array([0, 2, 4, 6]), np.array([1, 2, 0, 2, 0, 1])
+    total = motif.Walks(offsets, targets, by_name("q0"), 0.1).run(np.arange(3), 20_000, np.random.default_rng(1))
+    # after k steps 0.9^k of the walks are left; from the second step on half of the steps do not go back
+    want = 3 * 20_000 * sum(0.9**k for k in range(2, 200)) / 2
+    assert total.min() == total.max() and abs(total[0] / want - 1) < 0.02
 
 
 def test_partitioner_rows(spark):
