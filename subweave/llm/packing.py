@@ -31,7 +31,7 @@ WINDOW, END_ID, TOKENIZER = 2048, 1, "byte_bpe_50k.json"
 #: Solutions that are rounded one after the other, rounds of the active set, and steps of conjugate gradients in each.
 ROUNDS, ACTIVATED, STEPS = 6, 24, 100
 #: Lengths that the two shortest rests of a quadruple are chosen from.
-FREQUENT = 24
+FREQUENT = 32
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
