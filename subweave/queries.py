@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subweave import oracle
-from subweave.operators import clean, match, motif, partition
+from subweave.operators import blocks, clean, match, motif, partition
 from subweave.plans import reuse
 from subweave.plans.pattern import CATALOGUE, LINE, Pattern, by_name
 from subweave.plans.planner import Level, cheapest
@@ -44,8 +44,20 @@ def parts_of(adj: DataFrame, k: int = 4) -> DataFrame:
     return partition.by_hash(clean.vertices(adj), k)
 
 
-def _add(name: str, query: Query, sql: str | None) -> None:
-    QUERIES[name] = query
+#: Queries whose partial matches are far more than the graph's edges where they are shuffled: their plans run in blocks.
+IN_BLOCKS = {
+    "inter_by_sequences_q3",
+}
+
+
+def _kept_parts(adj: DataFrame, k: int = 4) -> DataFrame:
+    """parts_of, from the lists that graph() keeps, so that vertices need not be found again."""
+    return partition.by_hash(clean.neighbours(adj), k)
+
+
+def _add(name: str, query: Query, sql: str | None, in_blocks: Query | None = None) -> None:
+    """in_blocks: the query as it runs if it is one of IN_BLOCKS."""
+    QUERIES[name] = in_blocks if in_blocks and name in IN_BLOCKS else query
     if sql:
         ORACLE_SQL[name] = sql
 
@@ -60,13 +72,14 @@ _NBR = "nbr AS (SELECT src AS v, list(dst ORDER BY dst) AS n FROM adj GROUP BY s
 def _counts() -> None:
     for name, p in CATALOGUE.items():
         sql = oracle.count_sql(p)
-        _add(name, lambda s, d, p=p: match.count_by_joins(graph(s, d), p), sql)
-        _add(f"{name}_lazy", lambda s, d, p=p: match.count_lazily(graph(s, d), p), sql)
-        _add(f"{name}_reuse", lambda s, d, p=p: match.count_with_reuse(graph(s, d), p), sql)
-        _add(f"{name}_unordered", lambda s, d, p=p: match.count_lazily(graph(s, d), p.unordered()), oracle.count_sql(p.unordered()))
+        closed = lambda s, d, p=p: blocks.count(graph(s, d), p, closed=True)
+        _add(name, lambda s, d, p=p: match.count_by_joins(graph(s, d), p), sql, lambda s, d, p=p: blocks.count(graph(s, d), p, closed=p.n == 4))
+        _add(f"{name}_lazy", lambda s, d, p=p: match.count_lazily(graph(s, d), p), sql, closed)
+        _add(f"{name}_reuse", lambda s, d, p=p: match.count_with_reuse(graph(s, d), p), sql, closed)
+        _add(f"{name}_unordered", lambda s, d, p=p: match.count_lazily(graph(s, d), p.unordered()), oracle.count_sql(p.unordered()), lambda s, d, p=p: blocks.count(graph(s, d), p.unordered(), closed=True))
     for short in ("q2", "q5", "q6", "q10"):
         p = by_name(short)
-        _add(f"{p.name}_direct", lambda s, d, p=p: match.count_direct(graph(s, d), p), oracle.count_sql(p))
+        _add(f"{p.name}_direct", lambda s, d, p=p: match.count_direct(graph(s, d), p), oracle.count_sql(p), lambda s, d, p=p: blocks.count(graph(s, d), p, closed=True))
     for short in ("q0", "q2", "q3", "q8"):
         p = by_name(short)
         _add(f"{short}_instances", lambda s, d, p=p: match.instances(graph(s, d), p), oracle.instances_sql(p))
@@ -112,12 +125,12 @@ def _graph_queries() -> None:
     for p in (q0, q2, q3):
         short = p.name.split("_")[0]
         _add(f"intra_inter_{short}", lambda s, d, p=p: match.by_partition(graph(s, d), parts_of(graph(s, d)), p), _parts_sql(p))
-        _add(f"edge_seeded_{short}", lambda s, d, p=p: match.seeded(graph(s, d), parts_of(graph(s, d)), p), _seeded_sql(p))
-        _add(f"inter_by_sequences_{short}", lambda s, d, p=p: match.inter_by_sequences(graph(s, d), parts_of(graph(s, d)), p), f"SELECT inter AS n FROM ({_parts_sql(p)})")
+        _add(f"edge_seeded_{short}", lambda s, d, p=p: match.seeded(graph(s, d), parts_of(graph(s, d)), p), _seeded_sql(p), lambda s, d, p=p: blocks.seeded(graph(s, d), _kept_parts(graph(s, d)), p))
+        _add(f"inter_by_sequences_{short}", lambda s, d, p=p: match.inter_by_sequences(graph(s, d), parts_of(graph(s, d)), p), f"SELECT inter AS n FROM ({_parts_sql(p)})", lambda s, d, p=p: blocks.inter_by_sequences(graph(s, d), _kept_parts(graph(s, d)), p))
     for p in (q0, q1, q2, q3, by_name("q4")):
-        _add(f"inter_lazily_{p.name.split('_')[0]}", lambda s, d, p=p: match.inter_lazily(graph(s, d), parts_of(graph(s, d)), p, 4), f"SELECT inter AS n FROM ({_parts_sql(p)})")
+        _add(f"inter_lazily_{p.name.split('_')[0]}", lambda s, d, p=p: match.inter_lazily(graph(s, d), parts_of(graph(s, d)), p, 4), f"SELECT inter AS n FROM ({_parts_sql(p)})", lambda s, d, p=p: blocks.inter_lazily(graph(s, d), _kept_parts(graph(s, d)), p))
     for p in (q0, q1, q2, q3):
-        _add(f"edge_weight_{p.name.split('_', 1)[1]}", lambda s, d, p=p: motif.edge_weights(graph(s, d), p), f"{_weights_sql(p)}\nSELECT * FROM w")
+        _add(f"edge_weight_{p.name.split('_', 1)[1]}", lambda s, d, p=p: motif.edge_weights(graph(s, d), p), f"{_weights_sql(p)}\nSELECT * FROM w", lambda s, d, p=p: blocks.edge_weights(graph(s, d), p))
     _add("edge_weight_uniform", lambda s, d: motif.edge_weights(graph(s, d), LINE), f"{_ADJ}\nSELECT src, dst, CAST(1 AS BIGINT) AS w FROM adj")
     _add("edge_weight_partitioner", lambda s, d: motif.partitioner_weights(graph(s, d), q0), f"{_weights_sql(q0)}\nSELECT src, dst, w + 1 AS w FROM w")
     _add("edge_weight_total", lambda s, d: motif.total_matches(motif.edge_weights(graph(s, d), q0), q0), oracle.count_sql(q0))
