@@ -50,6 +50,7 @@ IN_BLOCKS = {
     "inter_lazily_q1",
     "q10_solar_square_lazy",
     "q10_solar_square_unordered",
+    "q4_house",
 }
 
 
