@@ -52,6 +52,7 @@ IN_BLOCKS = {
     "inter_lazily_q1",
     "inter_lazily_q4",
     "q10_solar_square",
+    "q10_solar_square_direct",
     "q10_solar_square_lazy",
     "q10_solar_square_reuse",
     "q10_solar_square_unordered",
