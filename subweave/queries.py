@@ -60,6 +60,7 @@ IN_BLOCKS = {
     "q1_square_reuse",
     "q1_square_unordered",
     "q4_house",
+    "q5_quad_triangle",
 }
 
 
