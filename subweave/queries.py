@@ -46,6 +46,7 @@ def parts_of(adj: DataFrame, k: int = 4) -> DataFrame:
 
 #: Queries whose partial matches are far more than the graph's edges where they are shuffled: their plans run in blocks.
 IN_BLOCKS = {
+    "edge_seeded_q2",
     "edge_seeded_q3",
     "inter_by_sequences_q2",
     "inter_by_sequences_q3",
