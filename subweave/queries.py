@@ -48,6 +48,7 @@ def parts_of(adj: DataFrame, k: int = 4) -> DataFrame:
 IN_BLOCKS = {
     "edge_seeded_q2",
     "edge_seeded_q3",
+    "edge_weight_square",
     "inter_by_sequences_q2",
     "inter_by_sequences_q3",
     "inter_lazily_q1",
