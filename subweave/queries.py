@@ -58,6 +58,7 @@ IN_BLOCKS = {
     "q10_solar_square_lazy",
     "q10_solar_square_reuse",
     "q10_solar_square_unordered",
+    "q1_square",
     "q1_square_lazy",
     "q1_square_reuse",
     "q1_square_unordered",
