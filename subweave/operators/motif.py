@@ -101,9 +101,14 @@ class Walks:
 
     def run(self, starts: np.ndarray, walks: int, rng: np.random.Generator) -> np.ndarray:
         """How often matches in the windows of the walks used each edge. A window has the vertices of the last steps."""
-        total, size = np.zeros(len(self.targets), np.int64), self.pattern.n
         at = np.repeat(starts, walks)
-        window, step = np.full((len(at), size), -1, np.int64), 0
+        total = np.zeros(len(self.targets), np.int64)
+        self._walk(at, np.full((len(at), self.pattern.n), -1, np.int64), 0, total, rng)
+        return total
+
+    def _walk(self, at: np.ndarray, window: np.ndarray, step: int, total: np.ndarray, rng: np.random.Generator) -> None:
+        """Walks that come to at as their next vertex, after as many steps, until all have stopped."""
+        size = self.pattern.n
         while len(at):
             window[:, step % size] = at
             step += 1
@@ -113,9 +118,99 @@ class Walks:
             at, window = at[alive], window[alive]
             first = self.offsets[at]
             at = self.targets[first + (rng.random(len(at)) * (self.offsets[at + 1] - first)).astype(np.int64)]
+
+
+class Flows(Walks):
+    """The same walks for triangles, all at once: how many walks take each edge, not which.
+
+    Where a walk goes depends on its last vertex alone, and what it meets on the last three. So the walks that came over an edge go
+    on in multinomial numbers; those that came to a vertex over edges in no triangle may go on together. Each walk stops, goes and
+    is counted with the chances it has one by one. Few walks that are left are walked one by one.
+    """
+
+    def __init__(self, offsets: np.ndarray, targets: np.ndarray, pattern: Pattern, stop: float):
+        super().__init__(offsets, targets, pattern, stop)
+        self.degree, self.source = np.diff(offsets), np.repeat(np.arange(self.n), np.diff(offsets))
+        found = [np.empty((0, 3), np.int64)]
+        half = np.flatnonzero(self.source < targets)
+        for lo in range(0, len(half), 1 << 17):
+            u, v = self.source[half[lo : lo + (1 << 17)]], targets[half[lo : lo + (1 << 17)]]
+            first = np.searchsorted(self.codes, v * self.n + v + 1)
+            size = offsets[v + 1] - first
+            w = targets[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+            u, v = np.repeat(u, size), np.repeat(v, size)
+            there = self.edge(u, w)[1]
+            found.append(np.column_stack([u[there], v[there], w[there]]))
+        three = np.concatenate(found)
+        wedges = np.concatenate([three[:, q] for q in itertools.permutations(range(3))])
+        u, v, w = wedges.T
+        #: The edges u to v, v to w and u to w of each way through a triangle, and the edges that are in triangles.
+        self.uv, self.vw, self.uw = (self.edge(a, b)[0] for a, b in ((u, v), (v, w), (u, w)))
+        self.closing = np.unique(self.uv)
+        self.ways = sum(all(x[a] < x[b] for a, b in pattern.order) for x in self.shapes)
+
+    def spread(self, count: np.ndarray, v: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Walks at vertices go to their neighbours: how many over each edge, row by row, and where rows begin."""
+        size = self.degree[v]
+        begin = np.cumsum(size) - size
+        out, left, live = np.zeros(size.sum(), np.int64), count.copy(), np.arange(len(v))
+        for j in range(int(size.max(initial=0))):
+            live = live[(size[live] > j) & (left[live] > 0)]
+            if not len(live):
+                break
+            gone = rng.binomial(left[live], 1 / (size[live] - j))
+            out[begin[live] + j] = gone
+            left[live] -= gone
+        return out, begin
+
+    def run_all(self, walks: int, rng: np.random.Generator, few: int = HELD) -> np.ndarray:
+        """As run() from every vertex."""
+        total = np.zeros(len(self.targets), np.int64)
+        every = np.arange(self.n)
+        on = self.spread(rng.binomial(np.full(self.n, walks), 1 - self.stop), every, rng)[0]
+        while on.sum() > few:
+            on = rng.binomial(on, 1 - self.stop)
+            own = self.closing[on[self.closing] > 0]
+            cells, begin = self.spread(on[own], self.targets[own], rng)
+            edges = np.arange(len(cells)) + np.repeat(self.offsets[self.targets[own]] - begin, self.degree[self.targets[own]])
+            row = np.minimum(np.searchsorted(own, self.uv), max(0, len(own) - 1))
+            met = np.flatnonzero(own[row] == self.uv) if len(own) else np.empty(0, np.int64)
+            n = self.ways * cells[begin[row[met]] + self.vw[met] - self.offsets[self.targets[self.uv[met]]]]
+            for e in (self.uv[met], self.vw[met], self.uw[met]):
+                np.add.at(total, e, n)
+                np.add.at(total, self.back[e], n)
+            on[own] = 0
+            together = np.bincount(self.targets, on, self.n).astype(np.int64)
+            on = self.spread(together, every, rng)[0]
+            np.add.at(on, edges, cells)
+        e = np.repeat(np.arange(len(on)), on)
+        window = np.full((len(e), 3), -1, np.int64)
+        window[:, 0], window[:, 1] = self.source[e], self.targets[e]
+        alive = rng.random(len(e)) >= self.stop
+        e, window = e[alive], window[alive]
+        v = self.targets[e]
+        at = self.targets[self.offsets[v] + (rng.random(len(v)) * self.degree[v]).astype(np.int64)]
+        self._walk(at, window, 2, total, rng)
         return total
 
 
+def is_triangle(pattern: Pattern) -> bool:
+    return pattern.n == 3 and len({frozenset(e) for e in pattern.edges}) == 3
+
+
+def _flown(sent, pattern: Pattern, walks: int, tasks: int, stop: float, seed: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nth in batch.column(0).to_pylist():
+                ids, offsets, targets = sent.value
+                own = Flows(offsets, targets, pattern, stop)
+                total = own.run_all(walks // tasks + (nth < walks % tasks), np.random.default_rng((seed, nth)))
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own.source[used]]), pa.array(ids[targets[used]]), pa.array(total[used])], names=["src", "dst", "w"])
+
+    return run
+
+
 def _walked(sent, pattern: Pattern, walks: int, stop: float, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, offsets, targets = sent.value
@@ -138,6 +233,9 @@ def _sent_walks(adj: DataFrame, pattern: Pattern, walks: int, stop: float, seed:
     src, dst = flat[: len(edges)], flat[len(edges) :]
     order = np.lexsort((dst, src))
     sent = spark.sparkContext.broadcast((ids, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order]))
+    if is_triangle(pattern):  # each task has a share of the walks of every vertex
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, walks))
+        return spark.range(0, tasks, 1, tasks).mapInArrow(_flown(sent, pattern, walks, tasks, stop, seed), "src long, dst long, w long")
     tasks = max(spark.sparkContext.defaultParallelism, len(ids) * walks // (1 << 23))
     return spark.range(0, len(ids), 1, tasks).mapInArrow(_walked(sent, pattern, walks, stop, seed), "src long, dst long, w long")
 
