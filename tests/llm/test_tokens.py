@@ -2,6 +2,8 @@
 
 import random
 import zlib
+from functools import update_wrapper
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from subweave.llm import bpe, packing, tokenfiles, tokens
-from subweave.llm.text import sliced
+from subweave.llm.text import Texts, sliced
 
 ALPHABET = " \n\ta bZé漢　'sS1.!,-́<|😀"
 SPECIAL = ["a <|endoftext|> b<|endoftext|>", "<|startoftext|>it's  I'll", "don't x's 's\n't", "a\n \nb", " \nfoo a\n \nbar", "don.'t (x)y's"]
@@ -45,6 +47,59 @@ def test_a_full_memory_is_emptied():
         assert ids.tolist() == [len(w) for w in text.split(" ")]
 
 
+def by_units(sample, name, limit=1 << 20):
+    got = []
+    for _, texts in sliced(pa.RecordBatch.from_arrays([pa.array(sample)], names=["text"]), "text", limit):
+        ids, offsets = tokens.library_ids(texts, name, drops_space=name.startswith("word"))
+        got += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return got
+
+
+def test_a_word_is_learned_in_one_case(monkeypatch):
+    seen = []
+
+    class Recorded(tokens.Memory):
+        def __init__(self, encode, *rest):
+            super().__init__(update_wrapper(lambda units: seen.extend(units) or encode(units), encode), *rest)
+
+    monkeypatch.setattr(tokens, "_held", {})
+    monkeypatch.setattr(tokens, "Memory", Recorded)
+    sample = ["Many words many WORDS\nétude Many", "words zzxqy WoRdS", "zzxqy étude"]
+    assert by_units(sample, "word_bpe_49k.json") == [ids_of("word_bpe_49k.json", t) for t in sample]
+    assert sorted(seen) == sorted(w.encode() for w in ("many", "words", "étude", "zzxqy"))
+
+
+def test_words_of_letters_need_no_marks_between_them(monkeypatch):
+    encode = tokens.Library(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(encode, "_marked", None)
+    words = [*"Many words ÉTUDE zzxqyzzxqy çéü a".split(), *map("".join, product("abcé", repeat=5))]
+    assert encode([w.encode() for w in words]) == [ids_of("word_bpe_49k.json", w) for w in words]
+
+
+CASES = ["J\u030c j\u030c J\u0323\u030c", "H\u0331 T\u0308 W\u030a Y\u030a A\u02be", "I\u0307 İ ı I i", "\u212a K k \u212b Å A\u030a", "ẞ ß SS", "ΑΣ ΑΣ. Ǆ ǅ ǆ", "DON'T Don't X'S 'Re", "É é E\u0301 Éa×÷ÿŸ"]
+SPECIAL_CASES = ["<|STARTOFTEXT|> Abc <|endoftext|>ABC", "ABC<|EndOfText|>"]
+
+
+@pytest.mark.parametrize("name", LIBRARY)
+def test_case_and_composition(name):
+    """A letter that only its small form is composed in keeps its case until the library has composed it."""
+    rng = random.Random(2)
+    alphabet = "JjHhTtIiAaKSs'\u030c\u0331\u0308\u0307\u030a\u0301\u02be\u212aÉéßẞ×÷0. \n"
+    sample = CASES + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    for some in (sample, sample[:200] + SPECIAL_CASES):
+        assert by_units(some, name) == [ids_of(name, t) for t in some]
+
+
+@pytest.mark.parametrize("name", LIBRARY)
+@pytest.mark.parametrize("room", [5, 400_000])
+def test_units_of_equal_hash(name, room, monkeypatch):
+    monkeypatch.setattr(tokens, "_held", {("library", name): tokens.Memory(tokens.Library(public_tokenizers.path(name)), room)})
+    monkeypatch.setattr(Texts, "hashes", lambda self, starts, ends: (self.data[starts] % 16).astype(np.uint64))
+    sample = SPECIAL + CASES + [t or "" for _, t in corpus(3, n=30)]
+    for limit in (64, 1 << 20):
+        assert by_units(sample, name, limit) == [ids_of(name, t) for t in sample]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(ALPHABET), max_size=60), st.integers(1, 9))
 def test_transducer(text, step):
